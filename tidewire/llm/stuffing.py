@@ -2,8 +2,8 @@
 
 Method: a text becomes a sequence of function words (each its own class) and word classes (form
 and ending of a word, numbers, links, tags, marks). A class n-gram model is trained on the prose
-of the corpus: the segments that end as sentences do and hold a function word, no link and no
-tag, counted over all documents. A segment whose perplexity under this model is abnormally high
+of the corpus: the segments that end as sentences do and hold a function word, no link, no tag
+and few repeated words, counted over all documents. A segment whose perplexity under this model is abnormally high
 or low, against prose of its length, is no prose; a document is flagged when such segments make
 up more than half of its characters.
 """
@@ -93,6 +93,7 @@ class Classes(dict):
 
 
 CLASSIFY = Classes()
+_REPEATED = np.arange(CLASSES) == AGAIN
 _RAISED = np.zeros(CLASSES, bool)
 _RAISED[7] = True
 _RAISED[CLASSIFY.first_suffix : CLASSIFY.first_suffix + (CLASSES - CLASSIFY.first_suffix) // 4] = True
@@ -101,7 +102,7 @@ _LINKED[[1, 3, 4]] = True
 _FUNCTION = np.zeros(CLASSES, bool)
 _FUNCTION[64 : CLASSIFY.first_suffix] = True
 _WORD = np.zeros(CLASSES, bool)
-_WORD[7] = True
+_WORD[[7, AGAIN]] = True
 _WORD[64:] = True
 
 
@@ -226,7 +227,8 @@ class _Grams:
         count = lambda mask: np.add.reduceat(mask[flat].astype(np.int64), starts)
         last = flat[ends - 1]
         closing = np.isin(last, [CLASSIFY.marks[m] for m in ".!?…»”\""])
-        prose = closing & (count(_WORD) >= 6) & (count(_FUNCTION) >= 1) & (count(_LINKED) == 0)
+        words = count(_WORD)
+        prose = closing & (words >= 6) & (count(_FUNCTION) >= 1) & (count(_LINKED) == 0) & (count(_REPEATED) * 4 <= words)
         return cls(a, b, c, starts2, n + 1, prose, np.repeat(np.arange(batch.num_rows), [len(x) for x in lengths]), chars)
 
     def slots(self) -> np.ndarray:

@@ -5,6 +5,9 @@ CHUNKS * CHUNK min-hash symbols of 16 bits over its three-token shingles. It is
 chunks; within a chunk ERRORS symbols may differ, and each way to leave out that many gives a
 lookup key. Pigeonhole: two signatures that differ in at most CHUNKS * (ERRORS + 1) - 1 symbols
 have a chunk with at most ERRORS differing ones and so share a key; every such pair is found.
+Shingles that half a percent of all records share (set phrases) are left out of the signatures,
+else a collection of set phrases has candidates in proportion to its square; they count in full
+when a pair is verified.
 Candidates whose two-bit signatures are too far apart are dropped, the rest is verified on the
 full shingle sets.
 
@@ -31,6 +34,9 @@ SYMBOLS = CHUNKS * CHUNK
 #: Symbols whose two lowest bits may differ in a candidate: at a similarity of 0.5, 16.5 of 44 do on average, with a deviation of 3.2.
 FAR = 28
 THRESHOLD = 0.5
+#: Shingles that this share of all records (and at least so many) have say little and are left out of signatures; they are counted by slots.
+COMMON, LEAST_COMMON, SLOT_BITS = 0.005, 50, 22
+SLOTS = 1 << SLOT_BITS
 _RNG = np.random.default_rng(4)
 _XOR = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 _MUL = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,24 +99,67 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of the classes of a partition, once each: copies within the partition give no further rows."""
-    seen: set[int] = set()
-    schema = pa.schema([("key", pa.int64()), ("class", pa.int64())])
-    for batch in batches:
-        fresh = []
-        for i, c in enumerate(batch.column(0).to_pylist()):
-            if c not in seen:
-                seen.add(c)
-                fresh.append(i)
-        for at in range(0, len(fresh), 4096):
-            part = batch.take(pa.array(fresh[at : at + 4096]))
-            raw = [np.frombuffer(x, np.uint32) for x in part.column(1).to_pylist()]
-            n = np.array([len(x) for x in raw])
+def _slots(share: float):
+    """(slot, n): how many records of a task have a shingle in each slot, slots that are frequent there only; slot -1 counts the records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, records = np.zeros(SLOTS, np.int64), 0
+        for batch in batches:
+            records += batch.num_rows
+            raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32)
+            counts += np.bincount(raw >> np.uint32(32 - SLOT_BITS), minlength=SLOTS)
+        often = np.flatnonzero(counts >= max(3, records * share / 2))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(often, -1)), pa.array(np.append(counts[often], records))], names=["slot", "n"])
+
+    return run
+
+
+def common_slots(records: DataFrame, share: float = COMMON) -> np.ndarray:
+    """Slots of shingles that at least `share` of all records have: at most the mean number of shingles / share."""
+    counts = records.select("grams").mapInArrow(_slots(share), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    total = counts.where("slot < 0").select(F.col("n").alias("records"))
+    often = counts.where("slot >= 0").join(F.broadcast(total), F.col("n") >= F.greatest(F.lit(LEAST_COMMON), F.col("records") * share)).select("slot").toArrow()
+    return often.column("slot").to_numpy()
+
+
+def _keys(common):
+    """Keys of the classes of a partition, once each: copies within the partition give no further rows.
+
+    Signatures are taken over the shingles that aren't common; a record of which these are less
+    than half has keys over all its shingles as well.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        frequent = np.zeros(SLOTS, bool)
+        frequent[common.value] = True
+        schema = pa.schema([("key", pa.int64()), ("class", pa.int64())])
+
+        def rows(values: np.ndarray, n: np.ndarray, classes: np.ndarray, mark: int) -> pa.RecordBatch:
             # 32 bits name the shingle; mixed, they serve the min-hashes as 64 bits would
-            keys = chunk_keys(signatures(S.mixed(np.concatenate(raw).astype(np.uint64)), n))
-            classes = np.repeat(part.column(0).to_numpy(), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(classes)], schema=schema)
+            keys = chunk_keys(signatures(S.mixed(values.astype(np.uint64)), n)) + mark
+            return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(classes, keys.shape[1]))], schema=schema)
+
+        for batch in batches:
+            fresh = []
+            for i, c in enumerate(batch.column(0).to_pylist()):
+                if c not in seen:
+                    seen.add(c)
+                    fresh.append(i)
+            for at in range(0, len(fresh), 4096):
+                part = batch.take(pa.array(fresh[at : at + 4096]))
+                raw = [np.frombuffer(x, np.uint32) for x in part.column(1).to_pylist()]
+                n = np.array([len(x) for x in raw])
+                classes, values = part.column(0).to_numpy(), np.concatenate(raw)
+                record = np.repeat(np.arange(len(n)), n)
+                own = ~frequent[values >> np.uint32(32 - SLOT_BITS)]
+                rare = np.bincount(record[own], minlength=len(n))
+                if (has := rare > 0).any():
+                    yield rows(values[own], rare[has], classes[has], 0)
+                if (few := rare * 2 < n).any():
+                    yield rows(values[few[record]], n[few], classes[few], 128)
+
+    return run
 
 
 def _verify(threshold: float):
@@ -149,7 +198,8 @@ def similar_classes(spark: SparkSession, items: DataFrame, threshold: float = TH
     """members (id, class), each id once, and pairs (x, y, similarity) of different classes, x < y."""
     scratch = Scratch(spark, "neardup")
     records = scratch.write(shingled(items), "records")
-    keys = records.select("class", "grams").mapInArrow(_keys, "key bigint, class bigint")
+    common = spark.sparkContext.broadcast(common_slots(records))
+    keys = records.select("class", "grams").mapInArrow(_keys(common), "key bigint, class bigint")
     a, b = keys.select("key", F.col("class").alias("x")), keys.select("key", F.col("class").alias("y"))
     met = a.join(b, "key").where("x < y").select("x", "y").distinct()
     short = records.groupBy("class").agg(F.first("n").alias("n"), F.first("sketch_a").alias("sa"), F.first("sketch_b").alias("sb"))

@@ -29,10 +29,10 @@ from tidewire.llm import shingles as S
 from tidewire.session import Scratch, small_side
 
 SHINGLE = 3
-CHUNKS, CHUNK, ERRORS = 11, 4, 1
+CHUNKS, CHUNK, ERRORS = 16, 4, 1
 SYMBOLS = CHUNKS * CHUNK
-#: Symbols whose two lowest bits may differ in a candidate: at a similarity of 0.5, 16.5 of 44 do on average, with a deviation of 3.2.
-FAR = 28
+#: Symbols whose two lowest bits may differ in a candidate: at a similarity of 0.5, 24 of 64 do on average, with a deviation of 3.9.
+FAR = 42
 THRESHOLD = 0.5
 #: Shingles that this share of all records (and at least so many) have say little and are left out of signatures; they are counted by slots.
 COMMON, LEAST_COMMON, SLOT_BITS = 0.005, 50, 22

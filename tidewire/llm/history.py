@@ -65,7 +65,7 @@ def winnowed(titles: list, texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _classes_and_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, class, n, grams, prints, further columns) of each record with at least three tokens."""
+    """RECORDS, prints and further columns of each record with at least three tokens."""
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
@@ -78,11 +78,11 @@ def _classes_and_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 has = pa.array(neardup.enough(titles, texts))
                 more = [part.column(i).filter(has) for i in range(3, part.num_columns)]
                 yield pa.RecordBatch.from_arrays(
-                    [rec.column(0), rec.column(1), rec.column(2), rec.column(5), lists.filter(has), *more], names=["id", "class", "n", "grams", "prints", *part.schema.names[3:]]
+                    [*rec.columns, lists.filter(has), *more], names=[*rec.schema.names, "prints", *part.schema.names[3:]]
                 )
 
 
-_SCHEMA = "id bigint, class bigint, n int, grams binary, prints array<bigint>"
+_SCHEMA = neardup.RECORDS + ", prints array<bigint>"
 
 
 def _positions(prints: np.ndarray, bits: int) -> np.ndarray:
@@ -213,8 +213,10 @@ def earlier_copies(spark: SparkSession, history: DataFrame, incoming: DataFrame,
         scratch.release()
     store.close()
     # candidates of all batches are verified together: acceptance doesn't depend on the verdict
-    records = store.records.select("class", "grams").unionByName(new.select("class", "grams"))
-    close = neardup.verified_pairs(scratch, met.where("x <> y").select("x", "y").distinct(), records, threshold, "met")
+    columns = ("class", "n", "sketch_a", "sketch_b", "grams")
+    records = store.records.select(*columns).unionByName(new.select(*columns))
+    near = neardup.near_candidates(met.where("x <> y").select("x", "y").distinct(), records, threshold)
+    close = neardup.verified_pairs(scratch, near, records, threshold, "met")
     same = met.where("x = y").select("x", "y").distinct().withColumn("similarity", F.lit(1.0))
     mine = new.select(F.col("class").alias("x"), F.col("id").alias("new_id"), F.col("batch_id").cast("int").alias("batch_id")).distinct()
     old = store.records.select("id", "class", F.lit(-(1 << 31)).alias("since")).unionByName(new.select("id", "class", F.col("batch_id").cast("int").alias("since"))).distinct()

@@ -183,6 +183,14 @@ def shingled(items: DataFrame) -> DataFrame:
     return items.where(F.col("id").isNotNull()).select(F.col("id").cast("bigint").alias("id"), "title", "text").mapInArrow(_records, RECORDS)
 
 
+def near_candidates(met: DataFrame, records: DataFrame, threshold: float, far: int = FAR) -> DataFrame:
+    """The pairs (x, y) of classes whose sizes allow the threshold and whose two-bit signatures are within reach."""
+    short = records.groupBy("class").agg(F.first("n").alias("n"), F.first("sketch_a").alias("sa"), F.first("sketch_b").alias("sb"))
+    sx, sy = (short.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("sa").alias(f"a{k}"), F.col("sb").alias(f"b{k}")) for k in "xy")
+    possible = F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold
+    return met.join(sx, "x").join(sy, "y").where(possible & (differing("ax", "bx", "ay", "by") <= far)).select("x", "y")
+
+
 def verified_pairs(scratch: Scratch, candidates: DataFrame, records: DataFrame, threshold: float, name: str) -> DataFrame:
     """(x, y, similarity): candidate classes (x, y) whose shingle sets are similar enough. records may hold a class many times."""
     c = scratch.write(candidates.select("x", "y"), f"{name}_near")
@@ -202,9 +210,7 @@ def similar_classes(spark: SparkSession, items: DataFrame, threshold: float = TH
     keys = records.select("class", "grams").mapInArrow(_keys(common), "key bigint, class bigint")
     a, b = keys.select("key", F.col("class").alias("x")), keys.select("key", F.col("class").alias("y"))
     met = a.join(b, "key").where("x < y").select("x", "y").distinct()
-    short = records.groupBy("class").agg(F.first("n").alias("n"), F.first("sketch_a").alias("sa"), F.first("sketch_b").alias("sb"))
-    sx, sy = (short.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("sa").alias(f"a{k}"), F.col("sb").alias(f"b{k}")) for k in "xy")
-    near = met.join(sx, "x").join(sy, "y").where((differing("ax", "bx", "ay", "by") <= far) & (F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold))
+    near = near_candidates(met, records, threshold, far)
     pairs = verified_pairs(scratch, near, records, threshold, "all")
     return records.select("id", "class").distinct(), pairs
 

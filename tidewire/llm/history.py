@@ -117,7 +117,7 @@ def _screen(new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
         f = np.frombuffer(field, np.uint8)
         at = _positions(fp, int(bits))
         hit |= ((f[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
-    return new[hit]
+    return new[hit].drop_duplicates()  # copies within the batch: all rows of a fingerprint are here
 
 
 def fingerprinted(items: DataFrame, *more: str) -> DataFrame:
@@ -163,7 +163,7 @@ class FingerprintStore:
 
     def check(self, records: DataFrame, name: str) -> DataFrame:
         """(new_class, old_class): distinct candidates of a fingerprinted batch."""
-        new = self._parted(records.select("class", F.explode("prints").alias("fp")).distinct())
+        new = self._parted(records.select("class", F.explode("prints").alias("fp")))
         filters = self.scratch.read("filters")
         positive = new.groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(_screen, "class bigint, fp bigint, part int").select("class", "fp")
         positive = self.scratch.write(positive, f"{name}/positive")
@@ -215,7 +215,7 @@ def earlier_copies(spark: SparkSession, history: DataFrame, incoming: DataFrame,
     # candidates of all batches are verified together: acceptance doesn't depend on the verdict
     columns = ("class", "n", "sketch_a", "sketch_b", "grams")
     records = store.records.select(*columns).unionByName(new.select(*columns))
-    near = neardup.near_candidates(met.where("x <> y").select("x", "y").distinct(), records, threshold)
+    near = neardup.near_candidates(met.where("x <> y").select("x", "y"), records, threshold)
     close = neardup.verified_pairs(scratch, near, records, threshold, "met")
     same = met.where("x = y").select("x", "y").distinct().withColumn("similarity", F.lit(1.0))
     mine = new.select(F.col("class").alias("x"), F.col("id").alias("new_id"), F.col("batch_id").cast("int").alias("batch_id")).distinct()

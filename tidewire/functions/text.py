@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 TOKEN = r"[0-9a-zA-Zа-яА-ЯіІїЇєЄґҐ']+"
@@ -58,32 +59,45 @@ def _simhash(title: str | None, text: str | None) -> int:
     return int((positive.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64))
 
 
-@F.pandas_udf("bigint")
-def simhash(title: pd.Series, text: pd.Series) -> pd.Series:
-    """64-bit similarity hash, each token's blake2b counted as often as it occurs; without tokens 0."""
+def _simhashes(title: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([_simhash(a, b) for a, b in zip(title, text)], dtype="int64")
 
 
+def simhash(title: str | Column, text: str | Column) -> Column:
+    """64-bit similarity hash, each token's blake2b counted as often as it occurs; without tokens 0."""
+    return F.pandas_udf(_simhashes, T.LongType())(col(title), col(text))
+
+
+def strip(x: str | Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(col(x), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def md5_simhash(words: str | Column) -> Column:
     """X3 with built-ins only: 60 bits from the first 15 hex digits of each token's md5; an empty or null list gives 0."""
     hashes = F.transform(F.coalesce(col(words), F.array().cast("array<string>")), lambda w: F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("bigint"))
-    set_ = [F.aggregate(hashes, F.lit(0), lambda acc, h, i=i: acc + F.when(F.getbit(h, F.lit(i)) == 1, 1).otherwise(-1)) for i in range(60)]
+    def votes(i: int) -> Column:
+        return F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.when(F.getbit(h, F.lit(i)) == 1, 1).otherwise(-1))
+
+    set_ = [votes(i) for i in range(60)]
     total = F.lit(0).cast("bigint")
     for i, s in enumerate(set_):
         total = total + F.when(s > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
     return total
 
 
-@F.pandas_udf("string")
-def unescape(x: pd.Series) -> pd.Series:
+def _unescape(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else html.unescape(s))
 
 
+def unescape(x: Column) -> Column:
+    return F.pandas_udf(_unescape, T.StringType())(x)
+
+
 def strip_html(x: str | Column, entities: bool = True) -> Column:
     """Tags dropped, entities resolved, trimmed; empty is null."""
     bare = F.regexp_replace(col(x), r"<[^>]+>", "")
-    bare = F.trim(unescape(bare)) if entities else F.trim(bare)
-    return F.nullif(bare, F.lit(""))
+    return F.nullif(strip(unescape(bare) if entities else bare), F.lit(""))
 
 
 def first_nonempty(*parts: str | Column) -> Column:
@@ -118,8 +132,11 @@ def any_match(x: str | Column, patterns: list[str], ignorecase: bool = False, ex
 def found_spans(x: str | Column, patterns: dict[str, str]) -> Column:
     """all matches of all patterns, as an array of (category, span)."""
     t = F.coalesce(col(x), F.lit(""))
-    each = [F.transform(F.regexp_extract_all(t, F.lit(uregex(f"({p})")), F.lit(0)), lambda s, n=name: F.struct(F.lit(n).alias("category"), s.alias("span"))) for name, p in sorted(patterns.items())]
-    return F.flatten(F.array(*each))
+
+    def of(name: str, p: str) -> Column:
+        return F.transform(F.regexp_extract_all(t, F.lit(uregex(f"({p})")), F.lit(0)), lambda s: F.struct(F.lit(name).alias("category"), s.alias("span")))
+
+    return F.flatten(F.array(*[of(name, p) for name, p in sorted(patterns.items())]))
 
 
 #: F5, from worst to least.
@@ -135,11 +152,8 @@ def stoplist_hits(x: str | Column, side: str | Column, rules: list[tuple[str, st
 
 def worst_action(hits: str | Column) -> Column:
     """the worst action among the hits; null if there is none."""
-    h = col(hits)
-    out = F.lit(None).cast("string")
-    for a in reversed(ACTIONS):
-        out = F.when(F.exists(h, lambda x, a=a: x["action"] == a), F.lit(a)).otherwise(out)
-    return out
+    named = F.transform(col(hits), lambda x: x["action"])
+    return F.coalesce(*[F.when(F.array_contains(named, a), F.lit(a)) for a in ACTIONS])
 
 
 def slugify(x: str | Column, default: str = "story", limit: int = 80) -> Column:
@@ -156,7 +170,7 @@ def normalize_path(x: str | Column, limit: int = 5) -> Column:
 
 def clip_for_embedding(x: str | Column, limit: int = 8000) -> Column:
     """Trimmed and cut, never empty."""
-    return F.coalesce(F.nullif(F.left(F.trim(F.coalesce(col(x), F.lit(""))), F.lit(limit)), F.lit("")), F.lit(" "))
+    return F.coalesce(F.nullif(F.left(strip(F.coalesce(col(x), F.lit(""))), F.lit(limit)), F.lit("")), F.lit(" "))
 
 
 def key_of(x: str | Column) -> Column:
@@ -216,11 +230,14 @@ def split_text(text: str, limit: int = 4096) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
-def chunked(x: pd.Series) -> pd.Series:
+def _chunked(x: pd.Series) -> pd.Series:
     return x.map(lambda s: [] if s is None else split_text(s))
 
 
+def chunked(x: str | Column) -> Column:
+    return F.pandas_udf(_chunked, T.ArrayType(T.StringType()))(col(x))
+
+
 def phash_pixels(pixels: np.ndarray) -> str:
     """32 x 32 grey values to 16 hex digits: which of the low 8 x 8 cosine terms exceed their median."""
     n = 32
@@ -231,12 +248,15 @@ def phash_pixels(pixels: np.ndarray) -> str:
     return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
 
 
-@F.pandas_udf("string")
-def phash(pixels: pd.Series) -> pd.Series:
-    """X15 over arrays of 1024 grey values; anything else gives null."""
+def _phash(pixels: pd.Series) -> pd.Series:
     return pixels.map(lambda p: phash_pixels(np.asarray(p)) if p is not None and len(p) == 1024 else None)
 
 
+def phash(pixels: str | Column) -> Column:
+    """X15 over arrays of 1024 grey values; anything else gives null."""
+    return F.pandas_udf(_phash, T.StringType())(col(pixels))
+
+
 def phash_number(x: str | Column) -> Column:
     """Hex digits to a signed number; anything else is null."""
     return F.when(col(x).rlike("^[0-9a-fA-F]{1,16}$"), F.conv(col(x), 16, -10).cast("bigint"))

@@ -1,5 +1,7 @@
 """SQL for the core's queries."""
 
+from tidewire.plans import analytics
+
 _ROLLING = """
 WITH once AS (SELECT item_id, measured_at, min(struct_pack(id := id, v := greatest(coalesce(views, 0), 0), f := greatest(coalesce(forwards, 0), 0))) AS p
   FROM item_metrics WHERE item_id IS NOT NULL AND measured_at IS NOT NULL GROUP BY item_id, measured_at),
@@ -25,7 +27,7 @@ rings AS (SELECT id FROM walk WHERE id = at),
 looped AS (SELECT w.id, min(w.at) AS root_id FROM walk w JOIN rings r ON r.id = w.at GROUP BY w.id)
 """
 
-ORACLES = {
+ORACLES = analytics.ORACLES | {
     "p2_found": _TREE + "SELECT id AS node_id, root_id, node_depth FROM down UNION ALL SELECT id, root_id, -1 FROM looped",
     "p2_paths": _TREE
     + """SELECT d.id AS node_id, d.root_id, d.node_depth, coalesce(n.n, 0) AS descendants, d.path FROM down d

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.operators import hierarchy, rolling
+from tidewire.plans import analytics
 from tidewire.session import table
 
 
@@ -35,4 +36,4 @@ def p7_rolling(spark, d):
     return t.select("item_id", F.date_format("day", "yyyy-MM-dd").alias("day"), *[c for c in t.columns if c.endswith("d") and "_avg_" not in c], *avg)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_cycles, p7_found, p7_rolling)}
+QUERIES = analytics.QUERIES | {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_cycles, p7_found, p7_rolling)}

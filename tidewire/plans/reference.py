@@ -16,13 +16,13 @@ from tidewire.session import table
 BOTH: dict = {}
 AS_OF = "TIMESTAMP '2025-05-01 00:00:00'"
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-NORM = f"lower(trim(regexp_replace(coalesce({{0}}, ''), '{WS}', ' ', 'g')))"
+NORM = {c: f"lower(trim(regexp_replace(coalesce({c}, ''), '{WS}', ' ', 'g')))" for c in ("title", "text")}
 ITEMS = "(SELECT DISTINCT * EXCLUDE (raw_payload) FROM news_items)"
 EVENTS = "(SELECT DISTINCT id, story_id, title, status, risk_level, rubric, region, first_seen_at, first_source_id, independent_source_count, update_type, side, is_rumor, significance, curated, duplicate_of, topic_leaf_id, created_at, updated_at FROM news_events)"
 METRICS = """(SELECT event_id AS id, user_id AS item_id, ts AS measured_at, event_type AS rubric, CAST(json_extract_string(props, '$.k') AS INT) AS likes,
  CAST(floor(value) AS INT) AS forwards, user_id % 10 + 1 AS source_id FROM events)"""
 SUBS = "(SELECT s_suppkey AS source_id, s_name AS name, ['official','media','aggregator','leak','anonymous'][s_suppkey % 5 + 1] AS tier, CAST(floor(abs(s_acctbal)) AS INT) AS subscribers FROM supplier)"
-JOURNAL = "(SELECT l_suppkey AS source_id, l_orderkey AS event_id, l_linenumber AS line, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'first' WHEN 'NF' THEN 'confirmed' WHEN 'NO' THEN 'copy' WHEN 'RF' THEN 'refuted' ELSE 'other' END AS kind, l_shipdate AS at FROM lineitem)"
+JOURNAL = "(SELECT l_suppkey AS source_id, l_orderkey AS event_id, l_linenumber AS line, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'first' WHEN 'NF' THEN 'confirmed' WHEN 'NO' THEN 'copy' WHEN 'RF' THEN 'refuted' ELSE 'other' END AS kind, l_shipdate AS "at" FROM lineitem)"
 TIERS = {"official": 1.0, "media": 0.8, "aggregator": 0.5, "leak": 0.4, "anonymous": 0.3}
 KINDS = {"first": 2.0, "confirmed": 3.0, "copy": -0.5, "refuted": -4.0}
 NOISE = {"advert": "знижк|реклам|промокод|безкоштовн", "digest": "дайджест|підсумк", "weather": "погод|температур|негод"}
@@ -48,13 +48,13 @@ def _map(column, values: dict):
 # ---- text and identity -------------------------------------------------------------------
 
 
-@query(f"SELECT id, {NORM.format('title')} AS title, {NORM.format('text')} AS text FROM {ITEMS}")
+@query(f"SELECT id, {NORM['title']} AS title, {NORM['text']} AS text FROM {ITEMS}")
 def x01_normalize_text(spark, d):
     i = A.items(spark, d, "title", "text")
     return i.select("id", text.normalize_text("title").alias("title"), text.normalize_text("text").alias("text"))
 
 
-@query(f"SELECT id, sha256({NORM.format('title')} || chr(10) || {NORM.format('text')}) AS hash FROM {ITEMS}")
+@query(f"SELECT id, sha256({NORM['title']} || chr(10) || {NORM['text']}) AS hash FROM {ITEMS}")
 def x02_content_hash(spark, d):
     return A.items(spark, d, "title", "text").select("id", text.content_hash("title", "text").alias("hash"))
 
@@ -94,7 +94,7 @@ def x06_cosine(spark, d):
     return v.join(w, "vec_id").select("vec_id", F.round(scores.cosine("embedding", "other"), 4).alias("cosine"))
 
 
-@query(f"SELECT id, coalesce(nullif(left(trim(coalesce(text, '')), 8000), ''), ' ') AS clipped FROM {ITEMS}")
+@query(f"SELECT id, coalesce(nullif(left(regexp_replace(coalesce(text, ''), '^{WS}|{WS}$', '', 'g'), 8000), ''), ' ') AS clipped FROM {ITEMS}")
 def x07_clip_for_embedding(spark, d):
     return A.items(spark, d, "text").select("id", text.clip_for_embedding("text").alias("clipped"))
 
@@ -150,7 +150,7 @@ def x30_split_text(spark, d):
 BOTH["x30_split_text"] = (x30_split_text, None)
 
 
-@query(f"""SELECT id, nullif(trim(regexp_replace(text, '<[^>]+>', '', 'g')), '') AS bare FROM {ITEMS} WHERE text NOT LIKE '%&%' OR text IS NULL""")
+@query(f"""SELECT id, nullif(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '^{WS}|{WS}$', '', 'g'), '') AS bare FROM {ITEMS} WHERE text NOT LIKE '%&%' OR text IS NULL""")
 def s05_strip_html(spark, d):
     i = A.items(spark, d, "text").where("text not like '%&%' or text is null")
     return i.select("id", text.strip_html("text", entities=False).alias("bare"))
@@ -279,7 +279,7 @@ def f15_items_to_measure(spark, d):
     return A.items(spark, d, "source_id", "published_at").where(F.expr(f"published_at >= {AS_OF} - interval 72 hours")).join(F.broadcast(s), "source_id", "left_semi").orderBy(F.desc("id")).limit(50).select("id")
 
 
-@query(f"SELECT id FROM {ITEMS} WHERE {NORM.format('title')} <> '' OR {NORM.format('text')} <> ''")
+@query(f"SELECT id FROM {ITEMS} WHERE {NORM['title']} <> '' OR {NORM['text']} <> ''")
 def f16_text_eligible(spark, d):
     return A.items(spark, d, "title", "text").where((text.normalize_text("title") != "") | (text.normalize_text("text") != "")).select("id")
 

@@ -363,9 +363,9 @@ def t28_retention(spark, d):
     return v.where(~F.coalesce(old, F.lit(False))).select("id", "status")
 
 
-@query('SELECT source_id, event_id, kind, min("at") AS "at" FROM ' + JOURNAL + " WHERE kind <> 'other' GROUP BY source_id, event_id, kind")
+@query('SELECT source_id, event_id, kind, min(at_) AS first_at FROM ' + JOURNAL + " WHERE kind <> 'other' GROUP BY source_id, event_id, kind")
 def t26_reputation_events(spark, d):
-    return A.journal(spark, d).where("kind <> 'other'").groupBy("source_id", "event_id", "kind").agg(F.min("at").alias("at"))
+    return A.journal(spark, d).where("kind <> 'other'").groupBy("source_id", "event_id", "kind").agg(F.min("at").alias("first_at"))
 
 
 @query(f"SELECT tier, count(*) AS n, count(*) FILTER (active) AS active, count(*) FILTER (created_at >= {AS_OF} - INTERVAL 30 DAY) AS recent FROM sources GROUP BY tier")

@@ -22,7 +22,7 @@ EVENTS = "(SELECT DISTINCT id, story_id, title, status, risk_level, rubric, regi
 METRICS = """(SELECT event_id AS id, user_id AS item_id, ts AS measured_at, event_type AS rubric, CAST(json_extract_string(props, '$.k') AS INT) AS likes,
  CAST(floor(value) AS INT) AS forwards, user_id % 10 + 1 AS source_id FROM events)"""
 SUBS = "(SELECT s_suppkey AS source_id, s_name AS name, ['official','media','aggregator','leak','anonymous'][s_suppkey % 5 + 1] AS tier, CAST(floor(abs(s_acctbal)) AS INT) AS subscribers FROM supplier)"
-JOURNAL = "(SELECT l_suppkey AS source_id, l_orderkey AS event_id, l_linenumber AS line, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'first' WHEN 'NF' THEN 'confirmed' WHEN 'NO' THEN 'copy' WHEN 'RF' THEN 'refuted' ELSE 'other' END AS kind, l_shipdate AS "at" FROM lineitem)"
+JOURNAL = "(SELECT l_suppkey AS source_id, l_orderkey AS event_id, l_linenumber AS line, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'first' WHEN 'NF' THEN 'confirmed' WHEN 'NO' THEN 'copy' WHEN 'RF' THEN 'refuted' ELSE 'other' END AS kind, l_shipdate AS at_ FROM lineitem)"
 TIERS = {"official": 1.0, "media": 0.8, "aggregator": 0.5, "leak": 0.4, "anonymous": 0.3}
 KINDS = {"first": 2.0, "confirmed": 3.0, "copy": -0.5, "refuted": -4.0}
 NOISE = {"advert": "знижк|реклам|промокод|безкоштовн", "digest": "дайджест|підсумк", "weather": "погод|температур|негод"}

@@ -59,7 +59,7 @@ def claims(raw: str | Column, most: int = 12) -> Column:
 def verdict(raw: str | Column, evidence: str | Column) -> Column:
     """Verdict (unverifiable outside its vocabulary), confidence within 0..1, one stance per piece of evidence, padded with neutral."""
     s = F.from_json(col(raw), "verdict string, confidence string, stances array<string>")
-    n = col(evidence)
+    n = col(evidence).cast("int")
     given = F.transform(F.coalesce(s["stances"], F.array().cast("array<string>")), lambda x: _within(x, ("supports", "refutes"), "neutral"))
     padded = F.slice(F.concat(given, F.array_repeat(F.lit("neutral"), n)), F.lit(1), n)
     confidence = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(s["confidence"].try_cast("double"), F.lit(0.0))))

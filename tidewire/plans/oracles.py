@@ -22,9 +22,9 @@ down AS (SELECT id, id AS root_id, 0 AS node_depth, label AS path FROM links WHE
 up(id, anc, distance) AS (SELECT id, parent, 1 FROM links WHERE parent IS NOT NULL AND id IN (SELECT id FROM down)
   UNION ALL SELECT u.id, l.parent, u.distance + 1 FROM up u JOIN links l ON l.id = u.anc WHERE l.parent IS NOT NULL),
 rest AS (SELECT id, parent FROM links WHERE id NOT IN (SELECT id FROM down)),
-walk(id, at) AS (SELECT id, parent FROM rest UNION SELECT w.id, r.parent FROM walk w JOIN rest r ON r.id = w.at),
-rings AS (SELECT id FROM walk WHERE id = at),
-looped AS (SELECT w.id, min(w.at) AS root_id FROM walk w JOIN rings r ON r.id = w.at GROUP BY w.id)
+walk(id, stop) AS (SELECT id, parent FROM rest UNION SELECT w.id, r.parent FROM walk w JOIN rest r ON r.id = w.stop),
+rings AS (SELECT id FROM walk WHERE id = stop),
+looped AS (SELECT w.id, min(w.stop) AS root_id FROM walk w JOIN rings r ON r.id = w.stop GROUP BY w.id)
 """
 
 ORACLES = analytics.ORACLES | {

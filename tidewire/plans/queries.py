@@ -33,7 +33,7 @@ def p7_found(spark, d):
 def p7_rolling(spark, d):
     t = rolling.rolling_totals(table(spark, d, "item_metrics"))
     avg = [F.round(c, 6).alias(c) for c in t.columns if "_avg_" in c]
-    return t.select("item_id", F.date_format("day", "yyyy-MM-dd").alias("day"), *[c for c in t.columns if c.endswith("d") and "_avg_" not in c], *avg)
+    return t.select("item_id", F.date_format("day", "yyyy-MM-dd").alias("day"), *[c for c in t.columns if c.endswith(("_7d", "_30d")) and "_avg_" not in c], *avg)
 
 
 QUERIES = analytics.QUERIES | {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_cycles, p7_found, p7_rolling)}

@@ -133,9 +133,15 @@ def test_vectors_edges(spark):
 
 
 def test_stuffing_edges(spark):
-    prose = "The council said on Monday that the bridge would be closed for repairs. Drivers were asked to use the other road, and buses will run as before. "
+    rng = random.Random(4)
+    nouns = [a + b for a in "bridge river council market garden winter school harbour train letter".split() for b in ("", "s", "ers", "ing", "ment")]
+    verbs = [a + b for a in "open clos repair visit pass clear report answer".split() for b in ("ed", "es", "ing")]
+
+    def prose(n):
+        return " ".join(f"The {rng.choice(nouns)} {rng.choice(verbs)} the {rng.choice(nouns)} on the {rng.choice(nouns)}, and a {rng.choice(nouns)} was {rng.choice(verbs)} by the {rng.choice(nouns)}." for _ in range(n))
+
     spam = "buy cheap phones online, cheap phones, phones online, buy online cheap, " * 12
-    rows = [(i, prose * (1 + i % 4)) for i in range(300)] + [(1000, spam), (1001, "#sale #phones #cheap " * 30), (1002, None), (1003, "  "), (1004, prose * 400)]
+    rows = [(i, prose(2 + i % 4)) for i in range(300)] + [(1000, spam), (1001, "#sale #phones #cheap " * 30), (1002, None), (1003, "  "), (1004, prose(1500))]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("share", F.lit(1))
     got = {r["doc_id"] for r in stuffing.stuffed_documents(spark, df).collect()}
     assert got == {1000, 1001}

@@ -199,9 +199,9 @@ def earlier_copies(spark: SparkSession, history: DataFrame, incoming: DataFrame,
     # fingerprinted in one pass, as each batch would be on its arrival, and kept by batch
     batches = fingerprinted(known, "batch_id")
     batches.write.partitionBy("batch_id").parquet(scratch.path("records/incoming"))
-    if scratch.read("records/incoming").isEmpty():
+    new = spark.read.schema(batches.schema).parquet(scratch.path("records/incoming"))
+    if new.isEmpty():
         return spark.createDataFrame([], "old_id bigint, new_id bigint, batch_id int, similarity double")
-    new = scratch.read("records/incoming")
     numbers = [r[0] for r in new.select("batch_id").distinct().orderBy("batch_id").collect()]
     met = None
     for b in numbers:

@@ -89,7 +89,8 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not has.any():
                 continue
             n = n[has]
-            same = S.mixed(S.per_record(np.add, values, n)) ^ S.per_record(np.add, S.mixed(values), n)
+            # two independent sums over the set, mixed one after the other: sets of a single shingle differ as well
+            same = S.mixed(S.mixed(S.per_record(np.add, values, n)) + S.per_record(np.add, S.mixed(values ^ _XOR[0]), n) * _MUL[0])
             a, b = sketches(signatures(values, n))
             short = (values >> np.uint64(32)).astype(np.uint32)  # sorted as well
             ends = np.cumsum(n)

@@ -59,8 +59,11 @@ LEVELS = ("low", "medium", "high", "critical")
 def risk_level(rubrics: str | Column, levels: dict[str, str], default: str = "high") -> Column:
     """The worst level of the known rubrics; the default if none is known."""
     rank = F.create_map(*[x for r, lv in levels.items() for x in (F.lit(r), F.lit(LEVELS.index(lv)))])
-    worst = F.array_max(F.transform(col(rubrics), lambda r: rank[r]))
-    return F.coalesce(F.element_at(F.array(*[F.lit(x) for x in LEVELS]), worst + 1), F.lit(default))
+    known = F.array_compact(F.transform(F.coalesce(col(rubrics), F.array().cast("array<string>")), lambda r: F.try_element_at(rank, r)))
+    out = F.lit(default)
+    for i, name in enumerate(LEVELS):  # the last one that is there is the worst
+        out = F.when(F.array_contains(known, i), F.lit(name)).otherwise(out)
+    return out
 
 
 def gate_decision(level: str | Column, independent: str | Column, official: str | Column, trusted: str | Column, rumor: str | Column, required: int = 2) -> Column:

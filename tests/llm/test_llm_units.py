@@ -67,6 +67,31 @@ def test_history_edges(spark):
     assert history.earlier_copies(spark, old, new.where("false")).count() == 0
 
 
+def test_history_finds_every_pair_of_the_threshold(spark):
+    """Sizes at which the old record had other kinds of fingerprints than the new one, and texts that share no long run."""
+    rng = random.Random(6)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    three = lambda t: {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
+    old, new = {}, {}
+    for i in range(120):
+        words = fresh((50, 30, 90)[i % 3])
+        other = words[: len(words) - 5 * (i % 3 == 0)]
+        if i % 3 == 2:  # the same pieces of seven words in another order
+            pieces = [words[k : k + 7] for k in range(0, len(words), 7)]
+            rng.shuffle(pieces)
+            other = [x for piece in pieces for x in piece]
+        else:
+            for k in rng.sample(range(len(other)), 1 + i % 2):
+                other[k] = "changed"
+        old[i], new[1000 + i] = words, other
+    old[500], new[1500] = ["x"] * 4000, ["x"] * 12  # one class, of very different length
+    want = {(a, b) for a, x in old.items() for b, y in new.items() if three(x) & three(y) and 2 * len(three(x) & three(y)) >= len(three(x) | three(y))}
+    history_ = spark.createDataFrame([(i, None, " ".join(t)) for i, t in old.items()], "id bigint, title string, text string")
+    incoming = spark.createDataFrame([(i, 1, None, " ".join(t)) for i, t in new.items()], "id bigint, batch_id int, title string, text string")
+    assert len(want) > 90
+    assert {(r["old_id"], r["new_id"]) for r in history.earlier_copies(spark, history_, incoming).collect()} == want
+
+
 def test_lines(spark):
     footer = "Subscribe to our channel now"
     rows = [(i, 1, f"news item {i} about thing {i}\n {footer.upper()} \r\nlast {i}") for i in range(20)] + [(5, 1, f"news item 5 about thing 5\n {footer.upper()} \r\nlast 5")]

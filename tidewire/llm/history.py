@@ -1,21 +1,20 @@
 """Problem 3: new batches against all accepted history.
 
-Method: partitioned Bloom filters over winnowed content fingerprints, a persistent fingerprint
-store, verification by shared coverage. The store keeps, in the shared folder,
+Method: partitioned Bloom filters over content fingerprints, a persistent fingerprint store,
+verification by shared shingles. The store keeps, in the shared folder,
 
 - prints: (fp, class), bucketed by fp, so that a lookup never shuffles the history;
 - filters: Bloom filter segments by partition of fp, one more segment per accepted batch;
 - records: (id, class, batch, shingles), read only for verified candidates.
 
 A batch's fingerprints meet the filters first; what no filter knows is new and goes no further.
-Of a record's positives only the rarest are looked up: a partner that shares at least COVERAGE
-of its fingerprints shares one of any set of more than positives - COVERAGE * all of them. So
-fingerprints of common phrases are never expanded, and nothing is lost to that. Candidates are
-verified on their full shingle sets, and the batch's own records enter store and filters.
-
-Fingerprints: runs of LONG tokens, winnowed over WINDOW runs, for records of at least SHORT
-tokens; all runs of three tokens for records of fewer than 2 * SHORT. Similar records differ by
-less than a factor of two in size, so any two have one kind in common.
+Fingerprints are all shingles of a record, the same that a pair is verified on, so that the
+bound follows from the threshold: a pair of that similarity shares at least threshold * n of the
+n shingles of either record. A new record with fewer positives has no partner and is not looked
+up; of the others only the rarest positives are: any positives - threshold * n + 1 of them hold
+one that a partner shares. So fingerprints of common phrases are expanded only where nothing
+rarer is left, and no pair is lost to that. Candidates are verified on their full shingle sets,
+and the batch's own records enter store and filters.
 """
 
 from __future__ import annotations
@@ -31,58 +30,30 @@ from pyspark.sql import functions as F
 from tidewire.llm import neardup, shingles as S
 from tidewire.session import Scratch
 
-LONG, WINDOW, SHORT = 8, 5, 24
-COVERAGE = 0.2
 #: Fingerprints per partition of the filters that their number aims at; 10 bits and 5 hashes a fingerprint, 1 % false positives.
 PER_PARTITION, BITS, ROUNDS = 2_000_000, 10, 5
 THRESHOLD = 0.5
 
 
-def winnowed(titles: list, texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """(record, fingerprint), distinct, in the order of the records."""
-    flat, counts = S.token_hashes(titles, texts)
-    runs, n = S.grams(flat, counts, LONG)
-    record = np.repeat(np.arange(len(n)), n)
-    use = counts[record] >= SHORT
-    runs, record = runs[use], record[use]
-    parts = []
-    if len(runs):
-        # the least of every WINDOW runs in a row; records of SHORT tokens have more runs than that
-        length = len(runs) - WINDOW + 1
-        least = np.min(np.lib.stride_tricks.sliding_window_view(runs, WINDOW), axis=1) if length > 0 else np.empty(0, np.uint64)
-        inside = record[:length] == record[WINDOW - 1 :] if length > 0 else np.empty(0, bool)
-        parts.append((record[:length][inside], least[inside]))
-    threes, n3 = S.grams(flat, counts, 3)
-    record3 = np.repeat(np.arange(len(n3)), n3)
-    few = counts[record3] < 2 * SHORT
-    parts.append((record3[few], threes[few]))
-    record, prints = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((prints, record))
-    record, prints = record[order], prints[order]
-    keep = np.ones(len(record), bool)
-    keep[1:] = (record[1:] != record[:-1]) | (prints[1:] != prints[:-1])
-    return record[keep], prints[keep]
-
-
-def _classes_and_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """RECORDS, prints and further columns of each record with at least three tokens."""
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, fp, prints): the distinct shingles of (class, grams), prints their number; copies within a task give no further rows."""
+    seen: set[int] = set()
     for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            titles, texts = part.column(1).to_pylist(), part.column(2).to_pylist()
-            record, prints = winnowed(titles, texts)
-            each = np.bincount(record, minlength=len(titles))
-            offsets = np.concatenate([[0], np.cumsum(each)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(prints.view(np.int64)))
-            for rec in neardup._records(iter([part])):
-                has = pa.array(neardup.enough(titles, texts))
-                more = [part.column(i).filter(has) for i in range(3, part.num_columns)]
-                yield pa.RecordBatch.from_arrays(
-                    [*rec.columns, lists.filter(has), *more], names=[*rec.schema.names, "prints", *part.schema.names[3:]]
-                )
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            own: dict[int, np.ndarray] = {}
+            for c, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if c not in seen:
+                    seen.add(c)
+                    own[c] = np.unique(np.frombuffer(raw, np.uint32))
+            if own:
+                n = np.array([len(x) for x in own.values()])
+                classes, fp = np.array(list(own), np.int64), np.concatenate(list(own.values())).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(classes, n)), pa.array(fp), pa.array(np.repeat(n, n).astype(np.int32))], names=["class", "fp", "prints"])
 
 
-_SCHEMA = neardup.RECORDS + ", prints array<bigint>"
+def fingerprints(records: DataFrame) -> DataFrame:
+    return records.select("class", "grams").mapInArrow(_fingerprints, "class bigint, fp int, prints int")
 
 
 def _positions(prints: np.ndarray, bits: int) -> np.ndarray:
@@ -98,7 +69,7 @@ def _build_filters(parts: int, per: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            part, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            part, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
             for p in np.unique(part):
                 field = held.setdefault(int(p), np.zeros(bits // 8 + 1, np.uint8))
                 at = np.unique(_positions(fp[part == p], bits))
@@ -121,17 +92,17 @@ def _screen(new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
 
 
 def fingerprinted(items: DataFrame, *more: str) -> DataFrame:
-    """Records with their fingerprints; rows without id or with fewer than three tokens are left out."""
+    """RECORDS and further columns; rows without id or with fewer than three tokens are left out."""
     rows = items.where(F.col("id").isNotNull()).select(F.col("id").cast("bigint").alias("id"), "title", "text", *more)
-    schema = _SCHEMA + "".join(f", {c} {dict(rows.dtypes)[c]}" for c in more)
-    return rows.mapInArrow(_classes_and_prints, schema)
+    schema = neardup.RECORDS + "".join(f", {c} {dict(rows.dtypes)[c]}" for c in more)
+    return rows.mapInArrow(neardup._records, schema)
 
 
 class FingerprintStore:
     """The accepted history, kept in the shared folder; check() looks a batch up, accept() adds it."""
 
-    def __init__(self, spark: SparkSession, history: DataFrame, buckets: int | None = None, per_partition: int = PER_PARTITION, coverage: float = COVERAGE) -> None:
-        self.spark, self.coverage = spark, coverage
+    def __init__(self, spark: SparkSession, history: DataFrame, buckets: int | None = None, per_partition: int = PER_PARTITION, threshold: float = THRESHOLD) -> None:
+        self.spark, self.threshold = spark, threshold
         self.scratch = Scratch(spark, "history")
         self.name = "tw_prints_" + self.scratch.root.rpartition("-")[2]
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -146,7 +117,7 @@ class FingerprintStore:
 
     def accept(self, records: DataFrame) -> None:
         """Adds a batch's prints to the store and a segment to the filters."""
-        prints = records.select("class", F.explode("prints").alias("fp")).repartition(self.buckets, "fp").dropDuplicates(["fp", "class"])
+        prints = fingerprints(records).select("class", "fp").repartition(self.buckets, "fp").dropDuplicates(["fp", "class"])
         prints = prints.withColumn("batch", F.lit(self.batches))
         prints.write.format("parquet").mode("append").option("path", self.scratch.path("prints")).bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(self.name)
         self.spark.catalog.refreshTable(self.name)
@@ -163,22 +134,22 @@ class FingerprintStore:
 
     def check(self, records: DataFrame, name: str) -> DataFrame:
         """(new_class, old_class): distinct candidates of a fingerprinted batch."""
-        new = self._parted(records.select("class", F.explode("prints").alias("fp")))
+        new = self._parted(fingerprints(records))
         filters = self.scratch.read("filters")
-        positive = new.groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(_screen, "class bigint, fp bigint, part int").select("class", "fp")
-        positive = self.scratch.write(positive, f"{name}/positive")
+        screened = new.groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(_screen, "class bigint, fp int, prints int, part int")
+        by_class = Window.partitionBy("class")
+        shared = F.ceil(F.col("prints") * self.threshold - 1e-9)  # a partner shares at least so many
+        positive = screened.select("class", "fp", "prints", F.count("*").over(by_class).alias("positives")).where(F.col("positives") >= shared)
+        positive = self.scratch.write(positive.drop("positives"), f"{name}/positive")
         known = positive.select("fp").distinct()
         counts = self.stored().join(known, "fp").groupBy("fp").agg(F.count("*").alias("df"))
-        sizes = records.groupBy("class").agg(F.first(F.size("prints")).alias("prints"))
-        by_class = Window.partitionBy("class")
         ranked = (
             positive.join(counts, "fp")
-            .join(sizes, "class")
             .withColumn("at", F.row_number().over(by_class.orderBy("df", "fp")))
             .withColumn("positives", F.count("*").over(by_class))
         )
-        # more than positives - coverage * all: one of these is shared by any partner of that coverage
-        rare = ranked.where(F.col("at") <= F.col("positives") - F.ceil(F.col("prints") * self.coverage) + 1).select(F.col("class").alias("new_class"), "fp")
+        # one more than the positives that a partner may lack: one of these is shared by any partner
+        rare = ranked.where(F.col("at") <= F.col("positives") - shared + 1).select(F.col("class").alias("new_class"), "fp")
         met = self.stored().join(rare, "fp").select("new_class", F.col("class").alias("old_class")).distinct()
         return self.scratch.write(met, f"{name}/met")
 
@@ -193,8 +164,9 @@ def earlier_copies(spark: SparkSession, history: DataFrame, incoming: DataFrame,
     with fewer than three tokens have no pairs; rows without id or batch_id are ignored; rows
     delivered twice count once; an empty history or batch gives no rows.
     """
-    store = FingerprintStore(spark, history)
+    store = FingerprintStore(spark, history, threshold=threshold)
     scratch = store.scratch
+    scratch.release()
     known = incoming.where(F.col("batch_id").isNotNull())
     # fingerprinted in one pass, as each batch would be on its arrival, and kept by batch
     batches = fingerprinted(known, "batch_id")

@@ -74,12 +74,8 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1).view(np.int64)
 
 
-def enough(titles: list, texts: list) -> list[bool]:
-    """Which records have at least SHINGLE tokens."""
-    return [len(S.TOKEN.findall(f"{a or ''} {b or ''}".lower())) >= SHINGLE for a, b in zip(titles, texts)]
-
-
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """RECORDS of (id, title, text); further columns are passed on."""
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
@@ -95,8 +91,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             short = (values >> np.uint64(32)).astype(np.uint32)  # sorted as well
             ends = np.cumsum(n)
             raw = [short[e - k : e].tobytes() for e, k in zip(ends, n)]
+            kept, *more = (part.column(i).filter(pa.array(has)) for i in (0, *range(3, part.num_columns)))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).filter(pa.array(has)), pa.array(same.view(np.int64)), pa.array(n, pa.int32()), pa.array(a), pa.array(b), pa.array(raw, pa.binary())], schema=_RECORDS
+                [kept, pa.array(same.view(np.int64)), pa.array(n, pa.int32()), pa.array(a), pa.array(b), pa.array(raw, pa.binary()), *more], names=[*_RECORDS.names, *part.schema.names[3:]]
             )
 
 

@@ -1,4 +1,4 @@
-"""Latest-row, ranking, merge and journal patterns, shared by the queries. All are pure and lazy."""
+"""Latest-row, ranking, merge and journal patterns, shared by the queries. All are pure, and lazy but for the chains."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.session import Scratch
+
 
 def latest(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order, e.g. F.desc("measured_at"), F.desc("id"). Null keys form their own group."""
@@ -57,16 +59,23 @@ def changes(journal: DataFrame, keys: Sequence[str], order: Sequence[str], *valu
     return journal.withColumn("_last", F.lag(now).over(w)).where(F.col("_last").isNull() | ~F.col("_last").eqNullSafe(now)).drop("_last")
 
 
-def resolve_chains(pairs: DataFrame, source: str, target: str, rounds: int = 32) -> DataFrame:
-    """(source, target) with chains followed to their ends, by doubling; links must lead to smaller numbers, so there are no cycles.
+def resolve_chains(pairs: DataFrame, source: str, target: str) -> DataFrame:
+    """(source, target) with chains followed to their ends, by doubling until a round changes nothing; links must lead to smaller numbers, so there are no cycles.
 
     One row per source is expected; of several the least target counts.
     """
     now = pairs.where(F.col(source).isNotNull() & F.col(target).isNotNull() & (F.col(target) < F.col(source))).groupBy(source).agg(F.min(target).alias(target))
-    for _ in range(max(1, rounds.bit_length() - 1)):
+    scratch = Scratch(pairs.sparkSession, "chains")
+    now, k = scratch.write(now, "links0"), 0
+    while True:
         nxt = now.select(F.col(source).alias(target), F.col(target).alias("_end"))
-        now = now.join(nxt, target, "left").select(source, F.coalesce("_end", target).alias(target))
-    return now
+        step = now.join(nxt, target, "left").select(source, F.coalesce("_end", target).alias(target), F.col("_end").isNotNull().alias("_moved"))
+        k += 1
+        step = scratch.write(step, f"links{k}")
+        scratch.drop(f"links{k - 1}")
+        now = step.drop("_moved")
+        if step.where("_moved").isEmpty():
+            return now
 
 
 def nearest_before(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, *cols: str) -> DataFrame:

@@ -167,9 +167,9 @@ def _walk_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _doubled_paths(scratch: Scratch, nodes: DataFrame) -> DataFrame:
-    """PATHS of components too large for one task, by doubling paths; cyclic nodes get their own id as path."""
+    """PATHS of components too large for one task, by doubling paths; each cycle is cut above its least id, as in the walk."""
     state = scratch.write(
-        nodes.select("node_id", "component", "cyclic", F.when(~F.col("cyclic"), F.col("parent")).alias("jump"), F.array("node_id").alias("ids"), F.array("label").alias("labels")), "paths0"
+        nodes.select("node_id", "component", "cyclic", F.when(~F.col("cyclic") | (F.col("node_id") != F.col("component")), F.col("parent")).alias("jump"), F.array("node_id").alias("ids"), F.array("label").alias("labels")), "paths0"
     )
     k = 0
     while not state.where("jump is not null").isEmpty():
@@ -183,7 +183,7 @@ def _doubled_paths(scratch: Scratch, nodes: DataFrame) -> DataFrame:
         state = scratch.write(step, f"paths{k}")
         scratch.drop(f"paths{k - 1}")
     below = (
-        state.where(~F.col("cyclic")).select(F.explode("ids").alias("node_id")).groupBy("node_id").agg((F.count("*") - 1).alias("descendants"))
+        state.select(F.explode("ids").alias("node_id")).groupBy("node_id").agg((F.count("*") - 1).alias("descendants"))
     )
     return state.join(below, "node_id", "left").select(
         "node_id", F.col("component").alias("root_id"), F.when(F.col("cyclic"), -1).otherwise(F.size("ids") - 1).cast("int").alias("node_depth"),
@@ -215,9 +215,12 @@ def hierarchy(spark: SparkSession, nodes: DataFrame, co_locate: int = CO_LOCATE)
     return walked if large.isEmpty() else walked.unionByName(_doubled_paths(scratch, large))
 
 
-def descendants(paths: DataFrame) -> DataFrame:
-    """(ancestor_id, node_id, distance): all nodes below each node, as rows, so that no root's list grows without bound."""
+def descendants(paths: DataFrame, cyclic: bool = False) -> DataFrame:
+    """(ancestor_id, node_id, distance): all nodes below each node, as rows, so that no root's list grows without bound.
+
+    Nodes on a cycle or below one take part if `cyclic`; the cycle is cut above its least id.
+    """
     at = F.posexplode(F.slice("path_ids", 1, F.size("path_ids") - 1)).alias("pos", "ancestor_id")
-    return paths.where(F.col("node_depth") >= 0).select("node_id", F.size("path_ids").alias("n"), at).select(
+    return paths.where((F.col("node_depth") >= 0) | F.lit(cyclic)).select("node_id", F.size("path_ids").alias("n"), at).select(
         "ancestor_id", "node_id", (F.col("n") - 1 - F.col("pos")).cast("int").alias("distance")
     )

@@ -208,6 +208,14 @@ def j07_hamming_pairs(spark, d):
     return near.join(sa, "a").join(sb, "b").where("sa = sb").select("a", "b", "distance")
 
 
+def j07_hamming_all(spark, d):
+    """The operator's whole job: a distance of at most 6 over all rows, whatever their source. SQL would compare all pairs."""
+    return R.hamming_pairs(A.items(spark, d, "simhash"), "id", "simhash", 6)
+
+
+BOTH["j07_hamming_all"] = (j07_hamming_all, None)
+
+
 @query(f"""SELECT b.id, max(a.id) AS earlier FROM {ITEMS} b JOIN {ITEMS} a ON a.content_hash = b.content_hash AND a.id < b.id AND a.fetched_at >= b.fetched_at - INTERVAL 72 HOUR GROUP BY b.id""")
 def j09_earlier_same_hash(spark, d):
     i = A.items(spark, d, "content_hash", "fetched_at")

@@ -156,6 +156,14 @@ def s05_strip_html(spark, d):
     return i.select("id", text.strip_html("text", entities=False).alias("bare"))
 
 
+def s05_strip_html_all(spark, d):
+    """All posts, entities resolved. SQL has no such step."""
+    return A.items(spark, d, "text").select("id", text.strip_html("text").alias("bare"))
+
+
+BOTH["s05_strip_html_all"] = (s05_strip_html_all, None)
+
+
 @query(f"SELECT id, coalesce(nullif(external_id, ''), nullif(url, ''), CAST(id AS VARCHAR)) AS key FROM {ITEMS}")
 def s02_external_id(spark, d):
     return A.items(spark, d, "external_id", "url").select("id", text.first_nonempty("external_id", "url", F.col("id").cast("string")).alias("key"))
@@ -193,6 +201,14 @@ def s14_new_subscriptions(spark, d):
     return R.without(seen, A.sources(spark, d).where("id % 2 = 0").select(handle(F.col("handle_or_url"))), ["handle"])
 
 
+@query("""SELECT handle FROM (SELECT DISTINCT lower(ltrim(source, '@')) AS handle FROM documents WHERE trim(coalesce(source, '')) <> '') d WHERE NOT EXISTS (SELECT 1 FROM sources s WHERE lower(ltrim(s.handle_or_url, '@')) = d.handle)""")
+def s14_new_subscriptions_all(spark, d):
+    """Against all sources."""
+    handle = lambda c: F.lower(F.regexp_replace(c, "^@+", "")).alias("handle")
+    seen = table(spark, d, "documents").where(F.trim(F.coalesce("source", F.lit(""))) != "").select(handle(F.col("source"))).distinct()
+    return R.without(seen, A.sources(spark, d).select(handle(F.col("handle_or_url"))), ["handle"])
+
+
 @query(f"SELECT id, CASE WHEN lower(coalesce(url, '')) LIKE '%t.example%' THEN 'telegram' ELSE 'web' END AS kind, coalesce(nullif(forwarded_from, ''), nullif(url, ''), '-') AS origin FROM {ITEMS}")
 def s09_message_origin(spark, d):
     i = A.items(spark, d, "url", "forwarded_from")

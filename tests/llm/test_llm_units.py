@@ -58,6 +58,20 @@ def test_neardup_edges(spark):
     assert neardup.similar_pairs(spark, df.where("false")).count() == 0
 
 
+def test_neardup_of_records_that_are_half_template(spark):
+    """A similarity of 0.50, of which common shingles are two thirds: what is signed without them has 0.25."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, rows = fresh(47), []
+    for i in range(60):
+        shared = template + fresh(22)
+        rows += [(2 * i, None, " ".join(shared + fresh(33))), (2 * i + 1, None, " ".join(shared + fresh(33)))]
+    df = spark.createDataFrame(rows, "id bigint, title string, text string")
+    got = {(r["item_a"], r["item_b"]) for r in neardup.similar_pairs(spark, df).collect()}
+    want = {(2 * i, 2 * i + 1) for i in range(60)}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_history_edges(spark):
     old = spark.createDataFrame([(1, None, TEXT), (1, None, TEXT), (2, None, None), (3, "a b", "c d")], "id bigint, title string, text string")
     new = spark.createDataFrame([(10, 1, None, TEXT + " more"), (11, 2, None, TEXT), (12, 2, "a", "b c d"), (13, 1, None, ""), (14, None, None, TEXT), (11, 2, None, TEXT)], "id bigint, batch_id int, title string, text string")

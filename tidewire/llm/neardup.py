@@ -7,7 +7,8 @@ lookup key. Pigeonhole: two signatures that differ in at most CHUNKS * (ERRORS +
 have a chunk with at most ERRORS differing ones and so share a key; every such pair is found.
 Shingles that half a percent of all records share (set phrases) are left out of the signatures,
 else a collection of set phrases has candidates in proportion to its square; they count in full
-when a pair is verified.
+when a pair is verified. A record of which they are more than a tenth has keys over all its
+shingles as well, those that hold a shingle of its own (see OWN).
 Candidates whose two-bit signatures are too far apart are dropped, the rest is verified on the
 full shingle sets.
 
@@ -37,6 +38,9 @@ THRESHOLD = 0.5
 #: Shingles that this share of all records (and at least so many) have say little and are left out of signatures; they are counted by slots.
 COMMON, LEAST_COMMON, SLOT_BITS = 0.005, 50, 22
 SLOTS = 1 << SLOT_BITS
+#: Share of common shingles from which a record has mixed keys. Of two records of similarity 0.5 whose common share is under it, what is
+#: signed has a similarity of at least (0.5 - 0.075) / (1 - 0.075) = 0.46, and the chunks meet with probability 0.99.
+OWN = 0.1
 _RNG = np.random.default_rng(4)
 _XOR = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 _MUL = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,6 +78,12 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1).view(np.int64)
 
 
+def mixed_keys(own: np.ndarray) -> np.ndarray:
+    """Which of the chunk_keys hold symbols of own shingles and of common ones. own: which symbols are of own shingles."""
+    kept = [[c * CHUNK + p for p in places] for c in range(CHUNKS) for places in combinations(range(CHUNK), CHUNK - ERRORS)]
+    return np.stack([own[:, at].any(axis=1) & ~own[:, at].all(axis=1) for at in kept], axis=1)
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """RECORDS of (id, title, text); further columns are passed on."""
     for batch in batches:
@@ -124,7 +134,9 @@ def _keys(common):
     """Keys of the classes of a partition, once each: copies within the partition give no further rows.
 
     Signatures are taken over the shingles that aren't common; a record of which these are less
-    than half has keys over all its shingles as well.
+    than half has keys over all its shingles as well. One of which OWN or more are common has those
+    of these keys that mix own and common shingles: the template alone brings no two records
+    together, and keys of own shingles only are there already.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +145,12 @@ def _keys(common):
         frequent[common.value] = True
         schema = pa.schema([("key", pa.int64()), ("class", pa.int64())])
 
-        def rows(values: np.ndarray, n: np.ndarray, classes: np.ndarray, mark: int) -> pa.RecordBatch:
+        def signed(values: np.ndarray, n: np.ndarray) -> np.ndarray:
             # 32 bits name the shingle; mixed, they serve the min-hashes as 64 bits would
-            keys = chunk_keys(signatures(S.mixed(values.astype(np.uint64)), n)) + mark
-            return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(classes, keys.shape[1]))], schema=schema)
+            return signatures(S.mixed(values.astype(np.uint64)), n)
+
+        def rows(keys: np.ndarray, classes: np.ndarray, use: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys[use]), pa.array(np.repeat(classes, use.sum(axis=1)))], schema=schema)
 
         for batch in batches:
             fresh = []
@@ -152,10 +166,16 @@ def _keys(common):
                 record = np.repeat(np.arange(len(n)), n)
                 own = ~frequent[values >> np.uint32(32 - SLOT_BITS)]
                 rare = np.bincount(record[own], minlength=len(n))
+                sig = np.zeros((len(n), SYMBOLS), np.uint64)
                 if (has := rare > 0).any():
-                    yield rows(values[own], rare[has], classes[has], 0)
-                if (few := rare * 2 < n).any():
-                    yield rows(values[few[record]], n[few], classes[few], 128)
+                    sig[has] = signed(values[own], rare[has])
+                    keys = chunk_keys(sig[has])
+                    yield rows(keys, classes[has], np.ones(keys.shape, bool))
+                if (some := n - rare >= n * OWN).any():
+                    whole = signed(values[some[record]], n[some])
+                    few = (rare * 2 < n)[some]
+                    use = mixed_keys((whole == sig[some]) & has[some][:, None]) | few[:, None]
+                    yield rows(chunk_keys(whole) + 128, classes[some], use)
 
     return run
 

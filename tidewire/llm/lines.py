@@ -7,8 +7,8 @@ two lines. Distinct documents are counted per source and chunk.
 
 A line that stands in n documents of a source has all its chunks in at least n of them. So the
 lines whose witness chunk (the one of least hash) is repeated often enough are a superset of the
-repeated lines, and only these are counted exactly. cleaned() cuts the repeated lines, and the
-repeated chunks of long lines as well.
+repeated lines, and only these are counted exactly. cleaned() cuts whole repeated lines only; repeated
+chunks within a longer line stay.
 """
 
 from __future__ import annotations

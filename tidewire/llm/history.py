@@ -1,20 +1,26 @@
 """Problem 3: new batches against all accepted history.
 
 Method: partitioned Bloom filters over content fingerprints, a persistent fingerprint store,
-verification by shared shingles. The store keeps, in the shared folder,
-
-- prints: (fp, class), bucketed by fp, so that a lookup never shuffles the history;
-- filters: Bloom filter segments by partition of fp, one more segment per accepted batch;
-- records: (id, class, batch, shingles), read only for verified candidates.
-
-A batch's fingerprints meet the filters first; what no filter knows is new and goes no further.
-Fingerprints are all shingles of a record, the same that a pair is verified on, so that the
-bound follows from the threshold: a pair of that similarity shares at least threshold * n of the
-n shingles of either record. A new record with fewer positives has no partner and is not looked
-up; of the others only the rarest positives are: any positives - threshold * n + 1 of them hold
-one that a partner shares. So fingerprints of common phrases are expanded only where nothing
-rarer is left, and no pair is lost to that. Candidates are verified on their full shingle sets,
-and the batch's own records enter store and filters.
+verification by shared shingles, update of both. The store is a folder that can be opened again:
+
+- prints/batch=B/part=K: (key, class), sorted by key, split by key;
+- filters/batch=B: Bloom filter segments, one or more a part and batch;
+- records/batch=B: (id, class, n, sketches, shingles);
+- common: which shingles are set phrases, as counted over the first history and kept since;
+- meta/batch=B: written last, so that a batch that broke off counts as never accepted.
+
+The fingerprints of a record are the minima of its shingles under fixed orders, three or four
+packed into one key: the keys of the multi-index join (see neardup). Fingerprints winnowed by
+position were built first and given up: runs of eight tokens lost pairs that are edited evenly
+(a word in ten), and runs short enough to keep these (a window of four shingles of three tokens)
+met 10 billion pairs of 200,000 posts by their set phrases. A key of minima is shared in
+proportion to a power of the similarity, wherever the edits are.
+
+A batch's keys meet the filters first; what no filter knows is new and goes no further. The rest
+is looked up in the parts of the store that hold it, and candidates are verified on their full
+shingle sets. Only the keys and the candidates' shingles are read again, never a text. When the
+parts have grown to GROWN times their size, the store splits itself into more of them, so that
+a part, and what a small batch reads, stays of one size.
 """
 
 from __future__ import annotations
@@ -24,179 +30,208 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import neardup, shingles as S
-from tidewire.session import Scratch
+from tidewire.session import Scratch, small_side
 
-#: Fingerprints per partition of the filters that their number aims at; 10 bits and 5 hashes a fingerprint, 1 % false positives.
-PER_PARTITION, BITS, ROUNDS = 2_000_000, 10, 5
-THRESHOLD = 0.5
+#: Keys that a part of the store is made for; 10 bits and 5 hashes a key, 1 % false positives.
+PER_PART, BITS, ROUNDS = 1_000_000, 10, 5
+#: Times PER_PART that a part may hold before the store is split anew.
+GROWN = 4
+THRESHOLD = neardup.THRESHOLD
+PRINTS = "key bigint, class bigint, batch int, part int"
+FILTERS = "part int, bits bigint, field binary, batch int"
+RECORDS = neardup.RECORDS + ", batch int"
+META = "parts int, prints bigint, batch int"
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, fp, prints): the distinct shingles of (class, grams), prints their number; copies within a task give no further rows."""
-    seen: set[int] = set()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            own: dict[int, np.ndarray] = {}
-            for c, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                if c not in seen:
-                    seen.add(c)
-                    own[c] = np.unique(np.frombuffer(raw, np.uint32))
-            if own:
-                n = np.array([len(x) for x in own.values()])
-                classes, fp = np.array(list(own), np.int64), np.concatenate(list(own.values())).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(classes, n)), pa.array(fp), pa.array(np.repeat(n, n).astype(np.int32))], names=["class", "fp", "prints"])
-
-
-def fingerprints(records: DataFrame) -> DataFrame:
-    return records.select("class", "grams").mapInArrow(_fingerprints, "class bigint, fp int, prints int")
-
-
-def _positions(prints: np.ndarray, bits: int) -> np.ndarray:
-    h = S.mixed(prints.view(np.uint64))
+def _positions(keys: np.ndarray, bits: int) -> np.ndarray:
+    h = S.mixed(keys.view(np.uint64))
     step = (h >> np.uint64(32)) | np.uint64(1)
     return np.stack([(h + np.uint64(r) * step) % np.uint64(bits) for r in range(ROUNDS)])
 
 
-def _build_filters(parts: int, per: int):
-    """Bloom filter segments (part, bits) of the fingerprints in a task, one per partition seen."""
-    bits = per * BITS
+def _build_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bloom filter segments (part, bits, field) of (part, key): one for each part and run of PER_PART keys in a task."""
+    held: dict[int, list[np.ndarray]] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            part, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-            for p in np.unique(part):
-                field = held.setdefault(int(p), np.zeros(bits // 8 + 1, np.uint8))
-                at = np.unique(_positions(fp[part == p], bits))
-                np.bitwise_or.at(field, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        for p, field in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([bits], pa.int64()), pa.array([field.tobytes()], pa.binary())], names=["part", "bits", "field"])
+    def segment(part: int, keys: np.ndarray) -> pa.RecordBatch:
+        bits = max(1024, len(keys) * BITS)
+        field = np.zeros(bits // 8 + 1, np.uint8)
+        at = np.unique(_positions(keys, bits))
+        np.bitwise_or.at(field, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits], pa.int64()), pa.array([field.tobytes()], pa.binary())], names=["part", "bits", "field"])
 
-    return run
+    for batch in batches:
+        parts, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for p in np.unique(parts):
+            own = held.setdefault(int(p), [])
+            own.append(keys[parts == p])
+            if sum(map(len, own)) >= PER_PART:
+                yield segment(int(p), np.unique(np.concatenate(held.pop(int(p)))))
+    for p, own in held.items():
+        yield segment(p, np.unique(np.concatenate(own)))
 
 
 def _screen(new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a partition's fingerprints that some segment of its filter may know."""
+    """The rows of a part's keys that some segment of its filter may know."""
     hit = np.zeros(len(new), bool)
-    fp = new["fp"].to_numpy(np.int64)
+    keys = new["key"].to_numpy(np.int64)
     for bits, field in zip(filters["bits"], filters["field"]):
         f = np.frombuffer(field, np.uint8)
-        at = _positions(fp, int(bits))
+        at = _positions(keys, int(bits))
         hit |= ((f[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
-    return new[hit].drop_duplicates()  # copies within the batch: all rows of a fingerprint are here
-
-
-def fingerprinted(items: DataFrame, *more: str) -> DataFrame:
-    """RECORDS and further columns; rows without id or with fewer than three tokens are left out."""
-    rows = items.where(F.col("id").isNotNull()).select(F.col("id").cast("bigint").alias("id"), "title", "text", *more)
-    schema = neardup.RECORDS + "".join(f", {c} {dict(rows.dtypes)[c]}" for c in more)
-    return rows.mapInArrow(neardup._records, schema)
+    return new[hit].drop_duplicates()  # copies within the batch: all rows of a key are here
 
 
 class FingerprintStore:
-    """The accepted history, kept in the shared folder; check() looks a batch up, accept() adds it."""
+    """The accepted history in a folder that all executors share; match() looks a batch up, accept() adds it."""
 
-    def __init__(self, spark: SparkSession, history: DataFrame, buckets: int | None = None, per_partition: int = PER_PARTITION, threshold: float = THRESHOLD) -> None:
-        self.spark, self.threshold = spark, threshold
+    def __init__(self, spark: SparkSession, path: str, common: np.ndarray, parts: int, threshold: float = THRESHOLD) -> None:
+        self.spark, self.path, self.threshold, self.parts = spark, path.rstrip("/"), threshold, parts
+        self.common = spark.sparkContext.broadcast(common)
         self.scratch = Scratch(spark, "history")
-        self.name = "tw_prints_" + self.scratch.root.rpartition("-")[2]
-        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.per = per_partition
-        self.parts = self.buckets
-        self.batches = 0
-        self.records = self.scratch.write(fingerprinted(history), "records/history")
-        self.accept(self.records)
 
-    def _parted(self, prints: DataFrame) -> DataFrame:
-        return prints.withColumn("part", F.pmod(F.hash("fp"), F.lit(self.parts)).cast("int"))
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, history: DataFrame, threshold: float = THRESHOLD, per_part: int = PER_PART) -> FingerprintStore:
+        """A new store of (id, title, text) rows; common shingles are those of this history."""
+        at = f"{path.rstrip('/')}/records/batch=0"
+        fingerprinted(history).write.mode("overwrite").parquet(at)
+        records = spark.read.schema(neardup.RECORDS).parquet(at)
+        common = neardup.common_slots(records)
+        spark.createDataFrame([(int(x),) for x in common], "slot bigint").coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/common")
+        n = records.count()
+        store = cls(spark, path, common, max(8, -(-n * 5 * neardup.CHUNKS // per_part)), threshold)  # about five keys a chunk
+        store._accept(records, 0, n)
+        return store
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, threshold: float = THRESHOLD) -> FingerprintStore:
+        """A store as its last accepted batch left it."""
+        at = path.rstrip("/")
+        last = spark.read.schema(META).parquet(f"{at}/meta").orderBy(F.desc("batch")).first()
+        common = np.sort(spark.read.schema("slot bigint").parquet(f"{at}/common").toArrow().column("slot").to_numpy())
+        return cls(spark, at, common, last["parts"], threshold)
+
+    def _read(self, what: str, schema: str) -> DataFrame:
+        """A table of the store, accepted batches only."""
+        df = self.spark.read.schema(schema).option("basePath", f"{self.path}/{what}").parquet(f"{self.path}/{what}")
+        return df.where(F.col("batch") < self.batches())
+
+    def batches(self) -> int:
+        """Accepted batches, the first history being one."""
+        return self.spark.read.schema(META).parquet(f"{self.path}/meta").agg(F.max("batch")).first()[0] + 1
+
+    def _part(self) -> F.Column:
+        """The part of a key: also the task that holds it after repartition(parts, key)."""
+        return F.pmod(F.hash("key"), F.lit(self.parts)).cast("int")
+
+    def _write_prints(self, prints: DataFrame, at: str) -> None:
+        once = prints.repartition(self.parts, "key").dropDuplicates(["key", "class"])
+        once.withColumn("part", self._part()).sortWithinPartitions("part", "key").write.mode("append").partitionBy("part").parquet(at)
+
+    def _write_filters(self, batch: int) -> int:
+        prints = self.spark.read.schema("key bigint, class bigint, part int").parquet(f"{self.path}/prints/batch={batch}")
+        prints.select("part", "key").mapInArrow(_build_filters, "part int, bits bigint, field binary").write.mode("overwrite").parquet(f"{self.path}/filters/batch={batch}")
+        return prints.count()
+
+    def _accept(self, records: DataFrame, batch: int, n: int) -> None:
+        self.scratch._delete(f"{self.path}/prints/batch={batch}")  # of an attempt that broke off
+        for chunks in (passes := neardup.families(n)):
+            self._write_prints(neardup.class_keys(records, self.common, chunks), f"{self.path}/prints/batch={batch}")
+            if len(passes) > 1:
+                self.scratch.release()
+        prints = self._write_filters(batch)
+        self.spark.createDataFrame([(self.parts, prints)], "parts int, prints bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta/batch={batch}")
 
     def accept(self, records: DataFrame) -> None:
-        """Adds a batch's prints to the store and a segment to the filters."""
-        prints = fingerprints(records).select("class", "fp").repartition(self.buckets, "fp").dropDuplicates(["fp", "class"])
-        prints = prints.withColumn("batch", F.lit(self.batches))
-        prints.write.format("parquet").mode("append").option("path", self.scratch.path("prints")).bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(self.name)
-        self.spark.catalog.refreshTable(self.name)
-        stored = self._parted(self.stored().where(F.col("batch") == self.batches).select("fp"))
-        count = stored.count()
-        # sized by the segment's mean load, and bounded by per_partition
-        load = min(self.per, max(1024, 1 << int(np.ceil(np.log2(1.3 * count / self.parts + 1)))))
-        fields = stored.select("part", "fp").mapInArrow(_build_filters(self.parts, load), "part int, bits bigint, field binary")
-        fields.write.mode("append").parquet(self.scratch.path("filters"))
-        self.batches += 1
-
-    def stored(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def check(self, records: DataFrame, name: str) -> DataFrame:
-        """(new_class, old_class): distinct candidates of a fingerprinted batch."""
-        new = self._parted(fingerprints(records))
-        filters = self.scratch.read("filters")
-        screened = new.groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(_screen, "class bigint, fp int, prints int, part int")
-        by_class = Window.partitionBy("class")
-        shared = F.ceil(F.col("prints") * self.threshold - 1e-9)  # a partner shares at least so many
-        positive = screened.select("class", "fp", "prints", F.count("*").over(by_class).alias("positives")).where(F.col("positives") >= shared)
-        positive = self.scratch.write(positive.drop("positives"), f"{name}/positive")
-        known = positive.select("fp").distinct()
-        counts = self.stored().join(known, "fp").groupBy("fp").agg(F.count("*").alias("df"))
-        ranked = (
-            positive.join(counts, "fp")
-            .withColumn("at", F.row_number().over(by_class.orderBy("df", "fp")))
-            .withColumn("positives", F.count("*").over(by_class))
-        )
-        # one more than the positives that a partner may lack: one of these is shared by any partner
-        rare = ranked.where(F.col("at") <= F.col("positives") - shared + 1).select(F.col("class").alias("new_class"), "fp")
-        met = self.stored().join(rare, "fp").select("new_class", F.col("class").alias("old_class")).distinct()
-        return self.scratch.write(met, f"{name}/met")
-
-    def close(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-
-
-def earlier_copies(spark: SparkSession, history: DataFrame, incoming: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+        """Adds fingerprinted records as the next batch: prints, filters, shingles."""
+        batch = self.batches()
+        at = f"{self.path}/records/batch={batch}"
+        records.write.mode("overwrite").parquet(at)
+        records = self.spark.read.schema(neardup.RECORDS).parquet(at)
+        self._accept(records, batch, records.count())
+        held = self.spark.read.schema(META).parquet(f"{self.path}/meta").agg(F.sum("prints")).first()[0]
+        if held > GROWN * PER_PART * self.parts:
+            self.split(-(-held // PER_PART))
+
+    def split(self, parts: int) -> None:
+        """Writes prints and filters anew in so many parts: one pass over them each time the store has grown GROWN times."""
+        batches = self.batches()
+        prints = self._read("prints", PRINTS)
+        for b in range(batches):
+            own = self.scratch.write(prints.where(F.col("batch") == b).select("key", "class"), "split")
+            self.scratch._delete(f"{self.path}/prints/batch={b}")
+            self.parts = parts
+            self._write_prints(own, f"{self.path}/prints/batch={b}")
+            n = self._write_filters(b)
+            self.spark.createDataFrame([(parts, n)], "parts int, prints bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta/batch={b}")
+            self.scratch.release()
+
+    def candidates(self, records: DataFrame, name: str) -> DataFrame:
+        """(x, y): classes of a fingerprinted batch and of the history that share a key."""
+        keys = neardup.class_keys(records, self.common)
+        filters = self._read("filters", FILTERS).select("part", "bits", "field")
+        screened = keys.withColumn("part", self._part()).groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(_screen, "key bigint, class bigint, part int")
+        positive = self.scratch.write(screened.select("key", F.col("class").alias("x"), "part"), f"{name}/positive")
+        known = positive.select("part").distinct().toArrow().column("part").to_pylist()  # at most `parts`
+        stored = self._read("prints", PRINTS)
+        if len(known) < self.parts:
+            stored = stored.where(F.col("part").isin(known))
+        met = stored.select("key", F.col("class").alias("y")).join(small_side(positive.select("key", "x"), positive.count()), "key")
+        return self.scratch.write(met.select("x", "y").distinct(), f"{name}/met")
+
+    def match(self, records: DataFrame, name: str = "look") -> DataFrame:
+        """(id, old_id, similarity): the fingerprinted records of a batch with every similar accepted record."""
+        met = self.candidates(records, name)
+        needed = self.scratch.write(met.select(F.col("y").alias("class")).distinct(), f"{name}/needed")
+        old = self._read("records", RECORDS).drop("batch")
+        old = self.scratch.write(old.join(small_side(needed, needed.count()), "class", "left_semi"), f"{name}/old")
+        columns = ("class", "n", "sketch_a", "sketch_b", "grams")
+        both = records.select(*columns).unionByName(old.select(*columns))
+        near = neardup.near_candidates(met.where("x <> y"), both, self.threshold)
+        close = neardup.verified_pairs(self.scratch, near, both, self.threshold, f"{name}/met")
+        same = met.where("x = y").select("x", "y", F.lit(1.0).alias("similarity"))
+        mine = records.select(F.col("class").alias("x"), "id").distinct()
+        theirs = old.select(F.col("class").alias("y"), F.col("id").alias("old_id")).distinct()
+        return self.scratch.write(close.unionByName(same).join(mine, "x").join(theirs, "y").select("id", "old_id", "similarity"), f"{name}/matched")
+
+    def forget(self, name: str) -> None:
+        """Drops the intermediate tables of a match."""
+        self.scratch.drop(*[f"{name}/{x}" for x in ("positive", "met", "needed", "old", "met_near", "met_needed", "met_pairs")])
+        self.scratch.release()
+
+
+def fingerprinted(items: DataFrame) -> DataFrame:
+    """RECORDS of (id, title, text); rows without id or with fewer than three tokens are left out."""
+    return neardup.shingled(items)
+
+
+def earlier_copies(spark: SparkSession, history: DataFrame, incoming: DataFrame, threshold: float = THRESHOLD, path: str | None = None) -> DataFrame:
     """(old_id, new_id, batch_id, similarity): each record of incoming with every similar record of history or of a smaller batch.
 
-    Batches are taken in the order of batch_id: each is looked up and then accepted. Records
-    with fewer than three tokens have no pairs; rows without id or batch_id are ignored; rows
-    delivered twice count once; an empty history or batch gives no rows.
+    Batches are taken in the order of batch_id: each is looked up and then accepted. path: folder
+    of the store that is made of history and left there; without one it goes with the process.
+    Records with fewer than three tokens have no pairs; rows without id or batch_id are ignored;
+    rows delivered twice count once; an empty history or batch gives no rows.
     """
-    store = FingerprintStore(spark, history, threshold=threshold)
-    scratch = store.scratch
+    scratch = Scratch(spark, "batches")
+    store = FingerprintStore.create(spark, path or scratch.path("store"), history, threshold)
     scratch.release()
-    known = incoming.where(F.col("batch_id").isNotNull())
-    # fingerprinted in one pass, as each batch would be on its arrival, and kept by batch
-    batches = fingerprinted(known, "batch_id")
-    batches.write.partitionBy("batch_id").parquet(scratch.path("records/incoming"))
-    new = spark.read.schema(batches.schema).parquet(scratch.path("records/incoming"))
-    if new.isEmpty():
-        return spark.createDataFrame([], "old_id bigint, new_id bigint, batch_id int, similarity double")
-    numbers = [r[0] for r in new.select("batch_id").distinct().orderBy("batch_id").collect()]
-    met = None
+    known = incoming.where(F.col("batch_id").isNotNull() & F.col("id").isNotNull())
+    numbers = [r[0] for r in known.select("batch_id").distinct().orderBy("batch_id").collect()]
+    found = None
     for b in numbers:
-        batch = new.where(F.col("batch_id") == b).drop("batch_id")
-        own = store.check(batch, f"look{b}").select(F.col("new_class").alias("x"), F.col("old_class").alias("y"), F.lit(b).cast("int").alias("batch_id"))
-        met = own if met is None else met.unionByName(own)
+        records = scratch.write(fingerprinted(known.where(F.col("batch_id") == b)), f"records{b}")
+        own = store.match(records, f"look{b}").select("old_id", F.col("id").alias("new_id"), F.lit(b).cast("int").alias("batch_id"), "similarity")
+        found = own if found is None else found.unionByName(own)
+        store.forget(f"look{b}")
         if b != numbers[-1]:
-            store.accept(batch)
-        scratch.release()
-    store.close()
-    # candidates of all batches are verified together: acceptance doesn't depend on the verdict
-    columns = ("class", "n", "sketch_a", "sketch_b", "grams")
-    records = store.records.select(*columns).unionByName(new.select(*columns))
-    near = neardup.near_candidates(met.where("x <> y").select("x", "y"), records, threshold)
-    close = neardup.verified_pairs(scratch, near, records, threshold, "met")
-    same = met.where("x = y").select("x", "y").distinct().withColumn("similarity", F.lit(1.0))
-    mine = new.select(F.col("class").alias("x"), F.col("id").alias("new_id"), F.col("batch_id").cast("int").alias("batch_id")).distinct()
-    old = store.records.select("id", "class", F.lit(-(1 << 31)).alias("since")).unionByName(new.select("id", "class", F.col("batch_id").cast("int").alias("since"))).distinct()
-    return (
-        close.unionByName(same)
-        .join(mine, "x")
-        .join(old.select(F.col("class").alias("y"), F.col("id").alias("old_id"), "since"), "y")
-        .where("old_id < new_id and since < batch_id")
-        .groupBy("old_id", "new_id")
-        .agg(F.min("batch_id").alias("batch_id"), F.max("similarity").alias("similarity"))
-    )
+            store.accept(records)
+        scratch.drop(f"records{b}")
+    if found is None:
+        return spark.createDataFrame([], "old_id bigint, new_id bigint, batch_id int, similarity double")
+    pairs = found.where("old_id < new_id").groupBy("old_id", "new_id")
+    return pairs.agg(F.min("batch_id").alias("batch_id"), F.max("similarity").alias("similarity"))

@@ -5,13 +5,20 @@ CHUNKS * CHUNK min-hash symbols of 16 bits over its three-token shingles. It is
 chunks; within a chunk ERRORS symbols may differ, and each way to leave out that many gives a
 lookup key. Pigeonhole: two signatures that differ in at most CHUNKS * (ERRORS + 1) - 1 symbols
 have a chunk with at most ERRORS differing ones and so share a key; every such pair is found.
-Shingles that half a percent of all records share (set phrases) are left out of the signatures,
+Shingles that half a percent of all records share (set phrases) are left out of these signatures,
 else a collection of set phrases has candidates in proportion to its square; they count in full
-when a pair is verified. A record of which they are more than a tenth has keys over all its
-shingles as well, those that hold a shingle of its own (see OWN).
+when a pair is verified. Two further kinds of keys serve pairs that need set phrases to reach the
+threshold: a record of which they are OWN or more has a second signature whose chunks hold three
+symbols of its common shingles and one of its own, without errors (two records that share most
+of their template and some of the rest), and a record of which they are half or more has keys
+over all its shingles.
 Candidates whose two-bit signatures are too far apart are dropped, the rest is verified on the
 full shingle sets.
 
+Keys are made and joined in up to FAMILIES families of chunks, one after the other, so that the
+scratch space of a large collection is that of one family. Keys of one class are of no use and go before the join; a key of more than
+HOT classes is split into blocks, and each pair of blocks is a task's work of its own.
+
 Records with the same shingle set are one class: only a class takes part, so a group of copies,
 however large, costs one signature. Pairs of records come from the classes at the very end.
 """
@@ -23,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import shingles as S
@@ -41,19 +48,28 @@ SLOTS = 1 << SLOT_BITS
 #: Share of common shingles from which a record has mixed keys. Of two records of similarity 0.5 whose common share is under it, what is
 #: signed has a similarity of at least (0.5 - 0.075) / (1 - 0.075) = 0.46, and the chunks meet with probability 0.99.
 OWN = 0.1
+#: Symbols of common shingles in a mixed chunk; one symbol of an own shingle follows.
+TEMPLATE = 3
+FAMILIES = 4
+#: Keys up to which further families are made in the same pass.
+PASS_KEYS = 4_000_000
+#: Classes under one key that are joined as they are; the blocks of a larger key hold about so many.
+HOT = 1000
 _RNG = np.random.default_rng(4)
 _XOR = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 _MUL = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_COMMON_XOR = _RNG.integers(0, 1 << 63, CHUNKS * TEMPLATE, dtype=np.uint64)
+_COMMON_MUL = _RNG.integers(1, 1 << 63, CHUNKS * TEMPLATE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 RECORDS = "id bigint, class bigint, n int, sketch_a bigint, sketch_b bigint, grams binary"
 _RECORDS = pa.schema([("id", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("sketch_a", pa.int64()), ("sketch_b", pa.int64()), ("grams", pa.binary())])
 
 
-def signatures(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+def signatures(values: np.ndarray, n: np.ndarray, xor: np.ndarray = _XOR, mul: np.ndarray = _MUL) -> np.ndarray:
     """16-bit symbols, one row per record; n must be positive."""
-    out = np.empty((len(n), SYMBOLS), np.uint64)
-    for j in range(SYMBOLS):
-        out[:, j] = S.per_record(np.minimum, (values ^ _XOR[j]) * _MUL[j], n)
+    out = np.empty((len(n), len(xor)), np.uint64)
+    for j in range(len(xor)):
+        out[:, j] = S.per_record(np.minimum, (values ^ xor[j]) * mul[j], n)
     return S.mixed(out) >> np.uint64(48)
 
 
@@ -65,23 +81,28 @@ def sketches(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple((x << places).sum(axis=1, dtype=np.uint64).view(np.int64) for x in (two[:, :half], two[:, half:]))
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """All lookup keys, one row per record: 48 bits of symbols, then which chunk and which symbols were left out."""
+def chunk_keys(sig: np.ndarray, first: int = 0) -> np.ndarray:
+    """The lookup keys of a row of chunks, one row per record: 48 bits of symbols, then which chunk (from first on) and which symbols were left out."""
     kept = list(combinations(range(CHUNK), CHUNK - ERRORS))
     keys = []
-    for c in range(CHUNKS):
+    for c in range(sig.shape[1] // CHUNK):
         for k, places in enumerate(kept):
             key = np.zeros(len(sig), np.uint64)
             for p in places:
                 key = (key << np.uint64(16)) | sig[:, c * CHUNK + p]
-            keys.append((key << np.uint64(8)) | np.uint64(c * len(kept) + k))
+            keys.append((key << np.uint64(8)) | np.uint64((first + c) * len(kept) + k))
     return np.stack(keys, axis=1).view(np.int64)
 
 
-def mixed_keys(own: np.ndarray) -> np.ndarray:
-    """Which of the chunk_keys hold symbols of own shingles and of common ones. own: which symbols are of own shingles."""
-    kept = [[c * CHUNK + p for p in places] for c in range(CHUNKS) for places in combinations(range(CHUNK), CHUNK - ERRORS)]
-    return np.stack([own[:, at].any(axis=1) & ~own[:, at].all(axis=1) for at in kept], axis=1)
+def mixed_keys(common: np.ndarray, own: np.ndarray, first: int = 0) -> np.ndarray:
+    """One key a chunk: its TEMPLATE symbols of common shingles and one of own ones."""
+    keys = []
+    for c in range(own.shape[1]):
+        key = own[:, c]
+        for p in range(TEMPLATE):
+            key = (key << np.uint64(16)) | common[:, c * TEMPLATE + p]
+        keys.append((S.mixed(key) << np.uint64(8)) | np.uint64(192 + first + c))
+    return np.stack(keys, axis=1).view(np.int64)
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +129,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slots(share: float):
-    """(slot, n): how many records of a task have a shingle in each slot, slots that are frequent there only; slot -1 counts the records."""
+    """(slot, n): slots of shingles that `share` of the records of a task have; slot -1 counts the records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, records = np.zeros(SLOTS, np.int64), 0
@@ -116,28 +137,50 @@ def _slots(share: float):
             records += batch.num_rows
             raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32)
             counts += np.bincount(raw >> np.uint32(32 - SLOT_BITS), minlength=SLOTS)
-        often = np.flatnonzero(counts >= max(3, records * share / 2))
+        often = np.flatnonzero(counts >= max(1, np.ceil(records * share)))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(often, -1)), pa.array(np.append(counts[often], records))], names=["slot", "n"])
 
     return run
 
 
-def common_slots(records: DataFrame, share: float = COMMON) -> np.ndarray:
-    """Slots of shingles that at least `share` of all records have: at most the mean number of shingles / share."""
-    counts = records.select("grams").mapInArrow(_slots(share), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    total = counts.where("slot < 0").select(F.col("n").alias("records"))
-    often = counts.where("slot >= 0").join(F.broadcast(total), F.col("n") >= F.greatest(F.lit(LEAST_COMMON), F.col("records") * share)).select("slot").toArrow()
-    return often.column("slot").to_numpy()
+def _slot_counts(slots):
+    """(slot, n) of the given slots in a task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32)
+            counts += np.bincount(raw >> np.uint32(32 - SLOT_BITS), minlength=SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array(slots.value), pa.array(counts[slots.value])], names=["slot", "n"])
 
-def _keys(common):
-    """Keys of the classes of a partition, once each: copies within the partition give no further rows.
+    return run
 
-    Signatures are taken over the shingles that aren't common; a record of which these are less
-    than half has keys over all its shingles as well. One of which OWN or more are common has those
-    of these keys that mix own and common shingles: the template alone brings no two records
-    together, and keys of own shingles only are there already.
+
+def common_slots(records: DataFrame, share: float = COMMON) -> np.ndarray:
+    """Slots of shingles that at least `share` of all records (and LEAST_COMMON) have, at most SLOTS.
+
+    What is that frequent over all is so in at least one task; those slots are then counted in
+    all tasks, so the result doesn't depend on how the records are split.
     """
+    sc = records.sparkSession.sparkContext
+    first = records.select("grams").mapInArrow(_slots(share), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    slot, n = first.column("slot").to_numpy(), first.column("n").to_numpy()
+    total, slot = int(n[slot < 0].sum()), np.sort(slot[slot >= 0])
+    if not len(slot):
+        return slot
+    counted = records.select("grams").mapInArrow(_slot_counts(sc.broadcast(slot)), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    return np.sort(counted.where(F.col("n") >= max(LEAST_COMMON, total * share)).select("slot").toArrow().column("slot").to_numpy())
+
+
+def families(records: int) -> list[range]:
+    """Chunks by pass for a collection of so many records: the fewer the records, the fewer the passes."""
+    n = min(FAMILIES, max(1, -(-records * 5 * CHUNKS // PASS_KEYS)))  # about five keys a chunk
+    return [range(f * CHUNKS // n, (f + 1) * CHUNKS // n) for f in range(n)]
+
+
+def _keys(common, chunks: range):
+    """Keys of some chunks of the classes of a partition, once each: copies within the partition give no further rows."""
+    at, template = slice(chunks.start * CHUNK, chunks.stop * CHUNK), slice(chunks.start * TEMPLATE, chunks.stop * TEMPLATE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -145,12 +188,8 @@ def _keys(common):
         frequent[common.value] = True
         schema = pa.schema([("key", pa.int64()), ("class", pa.int64())])
 
-        def signed(values: np.ndarray, n: np.ndarray) -> np.ndarray:
-            # 32 bits name the shingle; mixed, they serve the min-hashes as 64 bits would
-            return signatures(S.mixed(values.astype(np.uint64)), n)
-
-        def rows(keys: np.ndarray, classes: np.ndarray, use: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys[use]), pa.array(np.repeat(classes, use.sum(axis=1)))], schema=schema)
+        def rows(keys: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(classes, keys.shape[1]))], schema=schema)
 
         for batch in batches:
             fresh = []
@@ -158,28 +197,48 @@ def _keys(common):
                 if c not in seen:
                     seen.add(c)
                     fresh.append(i)
-            for at in range(0, len(fresh), 4096):
-                part = batch.take(pa.array(fresh[at : at + 4096]))
+            for start in range(0, len(fresh), 4096):
+                part = batch.take(pa.array(fresh[start : start + 4096]))
                 raw = [np.frombuffer(x, np.uint32) for x in part.column(1).to_pylist()]
                 n = np.array([len(x) for x in raw])
                 classes, values = part.column(0).to_numpy(), np.concatenate(raw)
                 record = np.repeat(np.arange(len(n)), n)
                 own = ~frequent[values >> np.uint32(32 - SLOT_BITS)]
                 rare = np.bincount(record[own], minlength=len(n))
-                sig = np.zeros((len(n), SYMBOLS), np.uint64)
+                values = S.mixed(values.astype(np.uint64))  # 32 bits name the shingle; mixed, they serve the min-hashes as 64 bits would
+                sig = np.zeros((len(n), at.stop - at.start), np.uint64)
                 if (has := rare > 0).any():
-                    sig[has] = signed(values[own], rare[has])
-                    keys = chunk_keys(sig[has])
-                    yield rows(keys, classes[has], np.ones(keys.shape, bool))
-                if (some := n - rare >= n * OWN).any():
-                    whole = signed(values[some[record]], n[some])
-                    few = (rare * 2 < n)[some]
-                    use = mixed_keys((whole == sig[some]) & has[some][:, None]) | few[:, None]
-                    yield rows(chunk_keys(whole) + 128, classes[some], use)
+                    sig[has] = signatures(values[own], rare[has], _XOR[at], _MUL[at])
+                    yield rows(chunk_keys(sig[has], chunks.start), classes[has])
+                if (some := has & (n - rare >= n * OWN)).any():
+                    use = ~own & some[record]
+                    shared = signatures(values[use], (n - rare)[some], _COMMON_XOR[template], _COMMON_MUL[template])
+                    yield rows(mixed_keys(shared, sig[some, ::CHUNK], chunks.start), classes[some])
+                if (few := rare * 2 <= n).any():
+                    whole = signatures(values[few[record]], n[few], _XOR[at], _MUL[at])
+                    yield rows(chunk_keys(whole, CHUNKS + chunks.start), classes[few])
 
     return run
 
 
+def class_keys(records: DataFrame, common, chunks: range = range(CHUNKS)) -> DataFrame:
+    """(key, class) of some chunks. common: broadcast slots of common shingles."""
+    return records.select("class", "grams").mapInArrow(_keys(common, chunks), "key bigint, class bigint")
+
+
+def met_pairs(keys: DataFrame, hot: int = HOT) -> DataFrame:
+    """(x, y), x < y: classes that share a key, once for each key they share."""
+    k = keys.repartition("key").dropDuplicates(["key", "class"])
+    k = k.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
+    few = k.where(F.col("m") <= hot)
+    pairs = few.select("key", F.col("class").alias("x")).join(few.select("key", F.col("class").alias("y")), "key").where("x < y").select("x", "y")
+    blocks = F.ceil(F.col("m") / F.lit(hot)).cast("int")
+    many = k.where(F.col("m") > hot).withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+    left = many.select("key", F.col("class").alias("x"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+    right = many.select("key", F.col("class").alias("y"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.col("block").alias("j"))
+    return pairs.unionByName(left.join(right, ["key", "i", "j"]).where("x < y").select("x", "y"))
+
+
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,11 +284,16 @@ def similar_classes(spark: SparkSession, items: DataFrame, threshold: float = TH
     scratch = Scratch(spark, "neardup")
     records = scratch.write(shingled(items), "records")
     common = spark.sparkContext.broadcast(common_slots(records))
-    keys = records.select("class", "grams").mapInArrow(_keys(common), "key bigint, class bigint")
-    a, b = keys.select("key", F.col("class").alias("x")), keys.select("key", F.col("class").alias("y"))
-    met = a.join(b, "key").where("x < y").select("x", "y").distinct()
-    near = near_candidates(met, records, threshold, far)
+    met = None
+    passes = families(records.count())
+    for i, chunks in enumerate(passes):
+        own = scratch.write(met_pairs(class_keys(records, common, chunks)).distinct(), f"met{i}")
+        met = own if met is None else met.unionByName(own)
+        if len(passes) > 1:
+            scratch.release()
+    near = near_candidates(met.distinct(), records, threshold, far)
     pairs = verified_pairs(scratch, near, records, threshold, "all")
+    scratch.drop(*[f"met{i}" for i in range(len(passes))], "all_near", "all_needed")
     return records.select("id", "class").distinct(), pairs
 
 

@@ -87,24 +87,23 @@ def _screen(new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
 
 
 class FingerprintStore:
-    """The accepted history in a folder that all executors share; match() looks a batch up, accept() adds it."""
+    """The accepted history in a folder that all executors share. A batch is staged, matched and accepted, in this order."""
 
-    def __init__(self, spark: SparkSession, path: str, common: np.ndarray, parts: int, threshold: float = THRESHOLD) -> None:
-        self.spark, self.path, self.threshold, self.parts = spark, path.rstrip("/"), threshold, parts
+    def __init__(self, spark: SparkSession, path: str, common: np.ndarray, parts: int, batches: int, threshold: float = THRESHOLD) -> None:
+        self.spark, self.path, self.threshold, self.parts, self.batches = spark, path.rstrip("/"), threshold, parts, batches
         self.common = spark.sparkContext.broadcast(common)
         self.scratch = Scratch(spark, "history")
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, history: DataFrame, threshold: float = THRESHOLD, per_part: int = PER_PART) -> FingerprintStore:
         """A new store of (id, title, text) rows; common shingles are those of this history."""
-        at = f"{path.rstrip('/')}/records/batch=0"
-        fingerprinted(history).write.mode("overwrite").parquet(at)
-        records = spark.read.schema(neardup.RECORDS).parquet(at)
-        common = neardup.common_slots(records)
-        spark.createDataFrame([(int(x),) for x in common], "slot bigint").coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/common")
-        n = records.count()
-        store = cls(spark, path, common, max(8, -(-n * 5 * neardup.CHUNKS // per_part)), threshold)  # about five keys a chunk
-        store._accept(records, 0, n)
+        store = cls(spark, path, np.empty(0, np.int64), 8, 0, threshold)
+        records = store.stage(history)
+        n, common = records.count(), neardup.common_slots(records)
+        spark.createDataFrame([(int(x),) for x in common], "slot bigint").coalesce(1).write.mode("overwrite").parquet(f"{store.path}/common")
+        store.common = spark.sparkContext.broadcast(common)
+        store.parts = max(8, -(-n * 5 * neardup.CHUNKS // per_part))  # about five keys a chunk
+        store.accept(records)
         return store
 
     @classmethod
@@ -113,16 +112,12 @@ class FingerprintStore:
         at = path.rstrip("/")
         last = spark.read.schema(META).parquet(f"{at}/meta").orderBy(F.desc("batch")).first()
         common = np.sort(spark.read.schema("slot bigint").parquet(f"{at}/common").toArrow().column("slot").to_numpy())
-        return cls(spark, at, common, last["parts"], threshold)
+        return cls(spark, at, common, last["parts"], last["batch"] + 1, threshold)
 
     def _read(self, what: str, schema: str) -> DataFrame:
         """A table of the store, accepted batches only."""
         df = self.spark.read.schema(schema).option("basePath", f"{self.path}/{what}").parquet(f"{self.path}/{what}")
-        return df.where(F.col("batch") < self.batches())
-
-    def batches(self) -> int:
-        """Accepted batches, the first history being one."""
-        return self.spark.read.schema(META).parquet(f"{self.path}/meta").agg(F.max("batch")).first()[0] + 1
+        return df.where(F.col("batch") < self.batches)
 
     def _part(self) -> F.Column:
         """The part of a key: also the task that holds it after repartition(parts, key)."""
@@ -132,42 +127,40 @@ class FingerprintStore:
         once = prints.repartition(self.parts, "key").dropDuplicates(["key", "class"])
         once.withColumn("part", self._part()).sortWithinPartitions("part", "key").write.mode("append").partitionBy("part").parquet(at)
 
-    def _write_filters(self, batch: int) -> int:
+    def _write_filters(self, batch: int) -> None:
+        """Filters of a batch's prints, and its row of meta."""
         prints = self.spark.read.schema("key bigint, class bigint, part int").parquet(f"{self.path}/prints/batch={batch}")
         prints.select("part", "key").mapInArrow(_build_filters, "part int, bits bigint, field binary").write.mode("overwrite").parquet(f"{self.path}/filters/batch={batch}")
-        return prints.count()
+        self.spark.createDataFrame([(self.parts, prints.count())], "parts int, prints bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta/batch={batch}")
 
-    def _accept(self, records: DataFrame, batch: int, n: int) -> None:
-        self.scratch._delete(f"{self.path}/prints/batch={batch}")  # of an attempt that broke off
-        for chunks in (passes := neardup.families(n)):
-            self._write_prints(neardup.class_keys(records, self.common, chunks), f"{self.path}/prints/batch={batch}")
-            if len(passes) > 1:
-                self.scratch.release()
-        prints = self._write_filters(batch)
-        self.spark.createDataFrame([(self.parts, prints)], "parts int, prints bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta/batch={batch}")
+    def stage(self, items: DataFrame) -> DataFrame:
+        """The fingerprinted records of the next batch, of (id, title, text) rows: the only pass over its texts."""
+        at = f"{self.path}/records/batch={self.batches}"
+        fingerprinted(items).write.mode("overwrite").parquet(at)
+        return self.spark.read.schema(neardup.RECORDS).parquet(at)
 
     def accept(self, records: DataFrame) -> None:
-        """Adds fingerprinted records as the next batch: prints, filters, shingles."""
-        batch = self.batches()
-        at = f"{self.path}/records/batch={batch}"
-        records.write.mode("overwrite").parquet(at)
-        records = self.spark.read.schema(neardup.RECORDS).parquet(at)
-        self._accept(records, batch, records.count())
+        """Adds staged records as the next batch."""
+        at = f"{self.path}/prints/batch={self.batches}"
+        self.scratch._delete(at)  # of an attempt that broke off
+        for chunks in (passes := neardup.families(records.count())):
+            self._write_prints(neardup.class_keys(records, self.common, chunks), at)
+            if len(passes) > 1:
+                self.scratch.release()
+        self._write_filters(self.batches)
+        self.batches += 1
         held = self.spark.read.schema(META).parquet(f"{self.path}/meta").agg(F.sum("prints")).first()[0]
         if held > GROWN * PER_PART * self.parts:
             self.split(-(-held // PER_PART))
 
     def split(self, parts: int) -> None:
         """Writes prints and filters anew in so many parts: one pass over them each time the store has grown GROWN times."""
-        batches = self.batches()
-        prints = self._read("prints", PRINTS)
-        for b in range(batches):
+        prints, self.parts = self._read("prints", PRINTS), parts
+        for b in range(self.batches):
             own = self.scratch.write(prints.where(F.col("batch") == b).select("key", "class"), "split")
             self.scratch._delete(f"{self.path}/prints/batch={b}")
-            self.parts = parts
             self._write_prints(own, f"{self.path}/prints/batch={b}")
-            n = self._write_filters(b)
-            self.spark.createDataFrame([(parts, n)], "parts int, prints bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta/batch={b}")
+            self._write_filters(b)
             self.scratch.release()
 
     def candidates(self, records: DataFrame, name: str) -> DataFrame:
@@ -184,23 +177,21 @@ class FingerprintStore:
         return self.scratch.write(met.select("x", "y").distinct(), f"{name}/met")
 
     def match(self, records: DataFrame, name: str = "look") -> DataFrame:
-        """(id, old_id, similarity): the fingerprinted records of a batch with every similar accepted record."""
+        """(id, old_id, similarity): the staged records with every similar accepted record."""
         met = self.candidates(records, name)
-        needed = self.scratch.write(met.select(F.col("y").alias("class")).distinct(), f"{name}/needed")
-        old = self._read("records", RECORDS).drop("batch")
-        old = self.scratch.write(old.join(small_side(needed, needed.count()), "class", "left_semi"), f"{name}/old")
+        wanted = met.select(F.col("y").alias("class")).distinct()
+        old = self._read("records", RECORDS).join(small_side(wanted, met.count()), "class", "left_semi")
         columns = ("class", "n", "sketch_a", "sketch_b", "grams")
         both = records.select(*columns).unionByName(old.select(*columns))
-        near = neardup.near_candidates(met.where("x <> y"), both, self.threshold)
-        close = neardup.verified_pairs(self.scratch, near, both, self.threshold, f"{name}/met")
-        same = met.where("x = y").select("x", "y", F.lit(1.0).alias("similarity"))
+        near = self.scratch.write(neardup.near_candidates(met.where("x <> y"), both, self.threshold), f"{name}/near")
+        close = neardup.verified(near, both, self.threshold).unionByName(met.where("x = y").select("x", "y", F.lit(1.0).alias("similarity")))
         mine = records.select(F.col("class").alias("x"), "id").distinct()
         theirs = old.select(F.col("class").alias("y"), F.col("id").alias("old_id")).distinct()
-        return self.scratch.write(close.unionByName(same).join(mine, "x").join(theirs, "y").select("id", "old_id", "similarity"), f"{name}/matched")
+        return self.scratch.write(close.join(mine, "x").join(theirs, "y").select("id", "old_id", "similarity"), f"{name}/matched")
 
     def forget(self, name: str) -> None:
         """Drops the intermediate tables of a match."""
-        self.scratch.drop(*[f"{name}/{x}" for x in ("positive", "met", "needed", "old", "met_near", "met_needed", "met_pairs")])
+        self.scratch.drop(*[f"{name}/{x}" for x in ("positive", "met", "near")])
         self.scratch.release()
 
 
@@ -217,20 +208,18 @@ def earlier_copies(spark: SparkSession, history: DataFrame, incoming: DataFrame,
     Records with fewer than three tokens have no pairs; rows without id or batch_id are ignored;
     rows delivered twice count once; an empty history or batch gives no rows.
     """
-    scratch = Scratch(spark, "batches")
-    store = FingerprintStore.create(spark, path or scratch.path("store"), history, threshold)
-    scratch.release()
+    store = FingerprintStore.create(spark, path or Scratch(spark, "store").path("at"), history, threshold)
+    store.scratch.release()
     known = incoming.where(F.col("batch_id").isNotNull() & F.col("id").isNotNull())
     numbers = [r[0] for r in known.select("batch_id").distinct().orderBy("batch_id").collect()]
     found = None
     for b in numbers:
-        records = scratch.write(fingerprinted(known.where(F.col("batch_id") == b)), f"records{b}")
+        records = store.stage(known.where(F.col("batch_id") == b))
         own = store.match(records, f"look{b}").select("old_id", F.col("id").alias("new_id"), F.lit(b).cast("int").alias("batch_id"), "similarity")
         found = own if found is None else found.unionByName(own)
         store.forget(f"look{b}")
-        if b != numbers[-1]:
+        if b != numbers[-1] or path:
             store.accept(records)
-        scratch.drop(f"records{b}")
     if found is None:
         return spark.createDataFrame([], "old_id bigint, new_id bigint, batch_id int, similarity double")
     pairs = found.where("old_id < new_id").groupBy("old_id", "new_id")

@@ -268,15 +268,12 @@ def near_candidates(met: DataFrame, records: DataFrame, threshold: float, far: i
     return met.join(sx, "x").join(sy, "y").where(possible & (differing("ax", "bx", "ay", "by") <= far)).select("x", "y")
 
 
-def verified_pairs(scratch: Scratch, candidates: DataFrame, records: DataFrame, threshold: float, name: str) -> DataFrame:
-    """(x, y, similarity): candidate classes (x, y) whose shingle sets are similar enough. records may hold a class many times."""
-    c = scratch.write(candidates.select("x", "y"), f"{name}_near")
-    needed = c.select(F.explode(F.array("x", "y")).alias("class")).distinct()
-    needed = scratch.write(needed, f"{name}_needed")
-    held = records.select("class", "grams").join(small_side(needed, needed.count()), "class", "left_semi").groupBy("class").agg(F.first("grams").alias("grams"))
+def verified(near: DataFrame, records: DataFrame, threshold: float) -> DataFrame:
+    """(x, y, similarity) of the classes (x, y) whose shingle sets are similar enough. near: a written table; records may hold a class many times."""
+    needed = near.select(F.explode(F.array("x", "y")).alias("class")).distinct()
+    held = records.select("class", "grams").join(small_side(needed, near.count() * 2), "class", "left_semi").groupBy("class").agg(F.first("grams").alias("grams"))
     x, y = (held.select(F.col("class").alias(k), F.col("grams").alias(f"g{k}")) for k in "xy")
-    pairs = c.join(x, "x").join(y, "y").select("x", "y", "gx", "gy")
-    return scratch.write(pairs.mapInArrow(_verify(threshold), "x bigint, y bigint, similarity double"), f"{name}_pairs")
+    return near.join(x, "x").join(y, "y").select("x", "y", "gx", "gy").mapInArrow(_verify(threshold), "x bigint, y bigint, similarity double")
 
 
 def similar_classes(spark: SparkSession, items: DataFrame, threshold: float = THRESHOLD, far: int = FAR) -> tuple[DataFrame, DataFrame]:
@@ -291,9 +288,9 @@ def similar_classes(spark: SparkSession, items: DataFrame, threshold: float = TH
         met = own if met is None else met.unionByName(own)
         if len(passes) > 1:
             scratch.release()
-    near = near_candidates(met.distinct(), records, threshold, far)
-    pairs = verified_pairs(scratch, near, records, threshold, "all")
-    scratch.drop(*[f"met{i}" for i in range(len(passes))], "all_near", "all_needed")
+    near = scratch.write(near_candidates(met.distinct(), records, threshold, far), "near")
+    pairs = scratch.write(verified(near, records, threshold), "pairs")
+    scratch.drop(*[f"met{i}" for i in range(len(passes))], "near")
     return records.select("id", "class").distinct(), pairs
 
 

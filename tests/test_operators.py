@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.functions import parsers, scores, text
+from tidewire.functions import scores, text
 from tidewire.operators import clusters, console, hierarchy, relational, rolling
 from tidewire.sources import readers
 from tidewire.streaming import streams
@@ -125,24 +125,14 @@ def test_text(spark):
     assert one(spark, text.strip_html("t"), t="<p>a &amp; b</p> ") == "a & b"
     assert len(text.phash_pixels(list(range(1024)))) == 16
     with pytest.raises(Exception, match="unknown level"):
-        spark.range(1).select(scores.gate_decision(F.lit("odd"), F.lit(1), F.lit(True), F.lit(True), F.lit(False)).alias("x")).collect()
-
-
-def test_parsers(spark):
-    c = one(spark, parsers.classification("r", ("war",)), r='{"rubric": " War ", "side": "moon", "keywords": ["a", ""], "path": ["X  y", ""]}')
-    assert (c["rubric"], c["side"], c["keywords"], c["path"]) == ("war", "unknown", ["a"], ["x y"])
-    assert one(spark, parsers.classification("r", ("war",)), r="no json") is None
-    assert [f["text"] for f in one(spark, parsers.facts("r"), r='["one", {"text": "two", "value": 3}, {"text": ""}]')] == ["one", "two"]
-    assert one(spark, parsers.facts("r"), r='{"facts": [{"text": "two", "value": true}]}')[0]["value"] is None
-    v = one(spark, parsers.verdict("r", "n"), r='{"verdict": "odd", "confidence": 7, "stances": ["supports"]}', n=3)
-    assert (v["verdict"], v["confidence"], v["stances"]) == ("unverifiable", 1.0, ["supports", "neutral", "neutral"])
-    assert one(spark, parsers.groups("r", "ids"), r='{"groups": [[3, 1, 1, 9], [2]]}', ids=[1, 2, 3]) == [[1, 3]]
-    assert one(spark, parsers.twin("r"), r='{"decision": "maybe"}') is None
-    assert one(spark, parsers.image_verdict("r"), r="{}")["blocked"] is True
-    assert one(spark, parsers.draft("r"), r='{"headline": "A", "lead": "a"}')["body"] is None
-    assert one(spark, parsers.ranking("r", "ids"), r='{"1": "publish", "2": "odd"}', ids=[1, 2, 3]) == {1: "publish", 2: "hold", 3: "hold"}
-    assert [h["ref"] for h in one(spark, parsers.evidence_hits("r"), r='[{"ref": "a"}, {"ref": "b", "score": 0.6}, {"ref": "c", "score": 0.9}, {"ref": "d", "score": 0.1}]')] == ["c", "b", "a"]
-    assert one(spark, parsers.command("r"), r="/Top@bot  5 ") == {"name": "top", "args": "5"}
+        spark.range(1).select(scores.gate_decision(F.lit("odd"), F.lit(1), F.lit(True), F.lit(True), F.lit(True), F.lit(False)).alias("x")).collect()
+
+
+def test_signature_of_every_tenth_post_is_what_the_collectors_stored(spark, sf):
+    from tidewire.plans import reference
+
+    rows = reference.x03_simhash(spark, sf).where("stored is not null").collect()
+    assert len(rows) > 100 and all(r["simhash"] == r["stored"] for r in rows)
 
 
 # ---- console, readers, streams -----------------------------------------------------------

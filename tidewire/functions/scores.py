@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import col
+from tidewire.functions.text import col, strip
 
 
 def engagement_rate(reactions: str | Column, forwards: str | Column, subscribers: str | Column) -> Column:
@@ -53,41 +53,43 @@ def significance(parts: dict[str, tuple[Column, float]]) -> tuple[Column, Column
 
 
 #: Levels from least to worst.
-LEVELS = ("low", "medium", "high", "critical")
+LEVELS = ("low", "high", "critical")
 
 
 def risk_level(rubrics: str | Column, levels: dict[str, str], default: str = "high") -> Column:
-    """The worst level of the known rubrics; the default if none is known."""
-    rank = F.create_map(*[x for r, lv in levels.items() for x in (F.lit(r), F.lit(LEVELS.index(lv)))])
-    known = F.array_compact(F.transform(F.coalesce(col(rubrics), F.array().cast("array<string>")), lambda r: F.try_element_at(rank, r)))
+    """The worst level of the known rubrics, trimmed and lower-cased; the default if none is known."""
+    rank = F.create_map(*[x for r, lv in levels.items() for x in (F.lit(r.strip().lower()), F.lit(LEVELS.index(lv)))])
+    known = F.array_compact(F.transform(F.coalesce(col(rubrics), F.array().cast("array<string>")), lambda r: F.try_element_at(rank, F.lower(strip(r)))))
     out = F.lit(default)
     for i, name in enumerate(LEVELS):  # the last one that is there is the worst
         out = F.when(F.array_contains(known, i), F.lit(name)).otherwise(out)
     return out
 
 
-def gate_decision(level: str | Column, independent: str | Column, official: str | Column, trusted: str | Column, rumor: str | Column, required: int = 2) -> Column:
-    """X11: (status, publishable, reason) by level, independent sources, an official or trusted source and rumour; an unknown level raises.
+def gate_decision(
+    level: str | Column, independent: str | Column, official: str | Column, first: str | Column, trusted: str | Column, rumor: str | Column, required: int = 2
+) -> Column:
+    """X11: (status, publishable, reason) by level and evidence; an unknown level raises. Null flags are false, a null count is 0.
 
-    Low and medium levels need one source. High and critical ones are confirmed by an official
-    source, reported from `required` independent ones, a signal otherwise. A rumour is a signal
-    unless an official source confirms it. Null flags are false, a null count is 0.
+    A rumour is labelled as one and goes out. Else an official or first-hand source confirms. High
+    and critical levels are reported from `required` independent sources on, the low one from a
+    single trusted source; what is left is a signal, which waits.
     """
-    lv = col(level)
-    n = F.coalesce(col(independent), F.lit(0))
+    lv, n = col(level), F.coalesce(col(independent), F.lit(0))
     yes = lambda c: F.coalesce(col(c), F.lit(False))
-    high = lv.isin("high", "critical")
-    known = lv.isin(*LEVELS)
-    status = (
-        F.when(~F.coalesce(known, F.lit(False)), F.raise_error(F.concat(F.lit("unknown level: "), F.coalesce(lv, F.lit("null")))).cast("string"))
-        .when(yes(official), "confirmed")
-        .when(yes(rumor), "signal")
-        .when(n >= required, "reported")
-        .when(high, "signal")
-        .when(yes(trusted), "reported")
-        .otherwise("single")
+    unknown = F.raise_error(F.concat(F.lit("unknown level: "), F.coalesce(lv, F.lit("null")))).cast("string")
+    rules = (
+        (yes(rumor), "rumor", "labelled as a rumor"),
+        (yes(official) | yes(first), "confirmed", "official or first-hand source"),
+        ((lv != "low") & (n >= required), "reported", "independent sources"),
+        ((lv == "low") & yes(trusted), "reported", "trusted source"),
+        (lv == "low", "signal", "needs a trusted source"),
     )
-    return F.struct(status.alias("status"), (status != "signal").alias("publishable"))
+    status, reason = F.lit("signal"), F.lit("needs a second or first-hand source")
+    for holds, name, why in reversed(rules):
+        status, reason = F.when(holds, name).otherwise(status), F.when(holds, why).otherwise(reason)
+    status = F.when(F.coalesce(~lv.isin(*LEVELS), F.lit(True)), unknown).otherwise(status)
+    return F.struct(status.alias("status"), (status != "signal").alias("publishable"), reason.alias("reason"))
 
 
 def blocked_reasons(**checks: Column) -> Column:

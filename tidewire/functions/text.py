@@ -209,25 +209,20 @@ def fill_prompt(template: str | Column, values: dict[str, str | Column]) -> Colu
     return out
 
 
-def split_text(text: str, limit: int = 4096) -> list[str]:
-    """Pieces of at most limit characters, cut at a blank line, else a line, else a word, if that keeps at least half; else hard."""
-    out, rest = [], text
+def split_text(text: str | None, limit: int = 4096) -> list[str]:
+    """Trimmed pieces of at most limit characters.
+
+    A piece ends at the last blank line or line feed of its second half, else at the last blank
+    anywhere in it; only a run without any is cut hard.
+    """
+    rest, out = (text or "").strip(), []
     while len(rest) > limit:
-        cut = -1
-        for mark in ("\n\n", "\n", " "):
-            at = rest.rfind(mark, 0, limit)
-            if at >= limit // 2:
-                cut = at
-                break
-        if cut < 0:
-            cut = limit
-        piece = rest[:cut].rstrip()
-        if piece:
-            out.append(piece)
-        rest = rest[cut:].lstrip()
-    if rest:
-        out.append(rest)
-    return out
+        late = (at for mark in ("\n\n", "\n") if (at := rest.rfind(mark, 0, limit)) >= limit // 2)
+        cut = next(late, None) or rest.rfind(" ", 0, limit)
+        piece, rest = (rest[:cut], rest[cut:]) if cut > 0 else (rest[:limit], rest[limit:])
+        out.append(piece.strip())
+        rest = rest.strip()
+    return [piece for piece in (*out, rest) if piece]
 
 
 def _chunked(x: pd.Series) -> pd.Series:

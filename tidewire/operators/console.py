@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import threading
 import uuid
@@ -12,19 +13,38 @@ ROWS, SECONDS, CELL = 50, 5.0, 26
 #: Functions that reach files, other systems or the JVM.
 FORBIDDEN = ("java_method", "reflect", "try_reflect", "read_files", "input_file_name", "current_user", "session_user")
 _STRINGS = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", re.S)
-_FILES = re.compile(r"\b(?:parquet|orc|csv|json|text|binaryfile|avro|delta|jdbc)\s*\.\s*`", re.I)
+
+
+def _relations(plan) -> list[list[str]]:
+    """Name parts of the relations that a parsed plan reads, subqueries included, from its JSON form."""
+    found: list[list[str]] = []
+
+    def walk(x) -> None:
+        if isinstance(x, dict):
+            if str(x.get("class", "")).endswith("UnresolvedRelation"):
+                parts = x.get("multipartIdentifier") or []
+                found.append(parts.strip("[]").split(", ") if isinstance(parts, str) else list(parts))
+            for y in x.values():
+                walk(y)
+        elif isinstance(x, list):
+            for y in x:
+                walk(y)
+
+    walk(json.loads(plan.toJSON()))
+    return found
 
 
 def is_readonly(spark: SparkSession, sql: str | None) -> bool:
     """One SELECT or WITH statement that reads registered tables only: no second statement, no command, no file, no forbidden function.
 
     The text is tested without its literals and comments, then its parsed, not yet resolved plan is
-    tested for commands. Null, empty and unparsable text is refused.
+    tested for commands, and for relations of more than one name part whose first part is no
+    database: those are read as files of a format, in whatever quotes. Null, empty and unparsable text is refused.
     """
     if not sql or not sql.strip():
         return False
     bare = _STRINGS.sub(" ", sql).strip()
-    if ";" in bare or not re.match(r"(?is)\(*\s*(select|with)\b", bare) or _FILES.search(bare):
+    if ";" in bare or not re.match(r"(?is)\(*\s*(select|with)\b", bare) :
         return False
     if any(re.search(rf"(?i)\b{f}\s*\(", bare) for f in FORBIDDEN):
         return False
@@ -32,6 +52,8 @@ def is_readonly(spark: SparkSession, sql: str | None) -> bool:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception:
         return False
+    if any(len(parts) > 1 and not spark.catalog.databaseExists(parts[0].strip("`")) for parts in _relations(plan)):
+        return False
     return not re.search(r"(?i)\b(insert|create|drop|delete|update|merge|command|overwrite)\w*", plan.nodeName()) and "InsertIntoStatement" not in plan.toString()
 
 

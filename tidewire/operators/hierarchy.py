@@ -36,7 +36,15 @@ def _links(nodes: DataFrame) -> DataFrame:
         .select("node_id", "row.parent", "row.label")
     )
     ids = own.select(F.col("node_id").alias("parent"), F.lit(True).alias("there"))
-    return own.join(ids, "parent", "left").select("node_id", F.when(F.col("there"), F.col("parent")).alias("parent"), "label")
+    known = own.where("parent is not null").join(ids, "parent", "left").select("node_id", F.when(F.col("there"), F.col("parent")).alias("parent"), "label")
+    return known.unionByName(own.where("parent is null"))
+
+
+def _looked_up(state: DataFrame, up: DataFrame, *columns: F.Column) -> DataFrame:
+    """state with what `up` has of each jump. Rows without a jump don't take part, else they would all meet in one task."""
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in up.schema if f.name != "jump"]
+    done = state.where("jump is null").select("*", *none)
+    return state.where("jump is not null").join(up, "jump", "left").unionByName(done).select(*columns)
 
 
 def _components(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, int]:
@@ -54,9 +62,7 @@ def _components(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, int]:
     total = state.count()
     while before:
         up = state.select(F.col("node_id").alias("jump"), F.col("jump").alias("jump2"), F.col("far").alias("far2"), F.col("least").alias("least2"))
-        step = state.join(up, "jump", "left").select(
-            "node_id", F.col("jump2").alias("jump"), F.coalesce("far2", "far").alias("far"), F.least("least", "least2").alias("least")
-        )
+        step = _looked_up(state, up, F.col("node_id"), F.col("jump2").alias("jump"), F.coalesce("far2", "far").alias("far"), F.least("least", "least2").alias("least"))
         k += 1
         state = scratch.write(step, f"jump{k}")
         scratch.drop(f"jump{k - 1}")
@@ -64,16 +70,14 @@ def _components(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, int]:
         if now == before:
             while 2**k < 2 * total:  # on to a jump of at least the number of nodes: then it ends on the cycle and has gone all round it
                 up = state.select(F.col("node_id").alias("jump"), F.col("jump").alias("jump2"), F.col("least").alias("least2"))
-                both = state.join(up, "jump", "left").select("node_id", F.coalesce("jump2", "jump").alias("jump"), "far", F.least("least", "least2").alias("least"))
+                both = _looked_up(state, up, F.col("node_id"), F.coalesce("jump2", "jump").alias("jump"), F.col("far"), F.least("least", "least2").alias("least"))
                 k += 1
                 state = scratch.write(both.withColumn("jump", F.when(F.col("jump").isNotNull(), F.col("jump"))), f"jump{k}")
                 scratch.drop(f"jump{k - 1}")
             break
         before = now
     on = state.select(F.col("node_id").alias("jump"), F.col("least").alias("cycle"))
-    tagged = state.join(on, "jump", "left").select(
-        "node_id", F.coalesce("cycle", "far").alias("component"), F.col("jump").isNotNull().alias("cyclic")
-    )
+    tagged = _looked_up(state, on, F.col("node_id"), F.coalesce("cycle", "far").alias("component"), F.col("jump").isNotNull().alias("cyclic"))
     return scratch.write(tagged, "components"), k
 
 
@@ -175,8 +179,8 @@ def _doubled_paths(scratch: Scratch, nodes: DataFrame) -> DataFrame:
     while not state.where("jump is not null").isEmpty():
         up = state.select(F.col("node_id").alias("jump"), F.col("jump").alias("jump2"), F.col("ids").alias("ids2"), F.col("labels").alias("labels2"))
         none_ids, none_labels = F.array().cast("array<bigint>"), F.array().cast("array<string>")
-        step = state.join(up, "jump", "left").select(
-            "node_id", "component", "cyclic", F.col("jump2").alias("jump"),
+        step = _looked_up(
+            state, up, F.col("node_id"), F.col("component"), F.col("cyclic"), F.col("jump2").alias("jump"),
             F.concat(F.coalesce("ids2", none_ids), "ids").alias("ids"), F.concat(F.coalesce("labels2", none_labels), "labels").alias("labels"),
         )
         k += 1

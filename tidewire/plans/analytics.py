@@ -142,10 +142,10 @@ def a22_hash_groups(spark, d):
     return A.items(spark, d, "content_hash").groupBy("content_hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
 
 
-@query(f"SELECT id, CASE rubric WHEN 'war' THEN 'critical' WHEN 'politics' THEN 'medium' WHEN 'sport' THEN 'low' ELSE 'high' END AS level FROM {EVENTS}")
+@query(f"SELECT id, CASE lower(trim(rubric)) WHEN 'war' THEN 'critical' WHEN 'politics' THEN 'high' WHEN 'sport' THEN 'low' WHEN 'culture' THEN 'low' ELSE 'high' END AS level FROM {EVENTS}")
 def a24_risk_level(spark, d):
     e = A.news_events(spark, d, "rubric")
-    return e.select("id", scores.risk_level(F.array_compact(F.array("rubric")), {"war": "critical", "politics": "medium", "sport": "low"}).alias("level"))
+    return e.select("id", scores.risk_level(F.array_compact(F.array("rubric")), {"war": "critical", "politics": "high", "sport": "low", "culture": "low"}).alias("level"))
 
 
 @query(f"SELECT rubric, count(*) AS n, string_agg(id, ',' ORDER BY first_seen_at, id) AS ids FROM {EVENTS} WHERE first_seen_at >= {AS_OF} - INTERVAL 8 HOUR AND first_seen_at < {AS_OF} GROUP BY rubric")

@@ -55,28 +55,39 @@ def triaged(items: DataFrame, noise: dict[str, str], alert: list[str], no_alert:
     return found.withColumn("verdict", F.when(F.size("noise") > 0, "filtered_out").when(F.col("is_alert"), "alert").otherwise("accepted"))
 
 
-def classified(items: DataFrame, model: Model, rubrics: tuple[str, ...]) -> DataFrame:
-    """Accepted items with rubric, side, keywords and path; an unreadable answer leaves an item without a rubric."""
+def classified(items: DataFrame, model: Model) -> DataFrame:
+    """Accepted items with rubrics, side, keywords and path; an unreadable answer leaves an event of no rubric, which gets the strictest sourcing."""
     blob = F.concat_ws("\n", "title", "text")
     rows = asked_once(items.where("verdict = 'accepted'").withColumn("blob", blob), "blob", model)
-    parsed = parsers.classification("answer", rubrics)
-    return rows.withColumn("c", parsed).select("id", F.col("c.rubric").alias("rubric"), F.coalesce("c.side", F.lit("unknown")).alias("side"), "c.keywords", "c.path")
+    none = F.array().cast("array<string>")
+    return rows.withColumn("c", parsers.classification("answer")).select(
+        "id", F.coalesce("c.is_event", F.lit(True)).alias("is_event"), F.coalesce("c.rubrics", none).alias("rubrics"), F.coalesce("c.side", F.lit("unknown")).alias("side"),
+        F.coalesce("c.keywords", none).alias("keywords"), F.coalesce("c.topic_path", none).alias("path"),
+    )
 
 
-def judged_pairs(pairs: DataFrame, model: Model | None) -> DataFrame:
-    """Pairs (id, other_id, same_hash, question): equal hashes are duplicates without a question; without a judge, or an answer, the rest is unresolved."""
+def judged_pairs(pairs: DataFrame, model: Model | None, unjudged: str = "unresolved") -> DataFrame:
+    """Pairs (id, other_id, same_hash, question): equal hashes are duplicates without a question; without a judge, or an answer, the rest is `unjudged`.
+
+    T15, at publishing, gives "separate" where there is no judge and "hold_review" where the judge's answer can't be read.
+    """
     auto = pairs.where("same_hash").select("id", "other_id", F.lit("duplicate").alias("decision"), F.lit("auto").alias("mode"))
     rest = pairs.where("not same_hash or same_hash is null")
     if model is None:
-        open_ = rest.select("id", "other_id", F.lit("hold").alias("decision"), F.lit("unavailable").alias("mode"))
+        open_ = rest.select("id", "other_id", F.lit(unjudged).alias("decision"), F.lit("unavailable").alias("mode"))
     else:
         answered = asked_once(rest, "question", model).withColumn("t", parsers.twin("answer"))
-        open_ = answered.select("id", "other_id", F.coalesce("t.decision", F.lit("hold")).alias("decision"), F.when(F.col("t").isNull(), "unavailable").otherwise("llm").alias("mode"))
+        open_ = answered.select("id", "other_id", F.coalesce("t.decision", F.lit(unjudged)).alias("decision"), F.when(F.col("t").isNull(), "unavailable").otherwise("llm").alias("mode"))
     return auto.unionByName(open_)
 
 
+def publish_verdicts(pairs: DataFrame, model: Model | None) -> DataFrame:
+    """judged_pairs as at publishing."""
+    return judged_pairs(pairs, model, "separate" if model is None else "hold_review")
+
+
 def drafted(events: DataFrame, model: Model) -> DataFrame:
     """Events (id, prompt) with headline, body and status: a draft that can't be published as it is stays on hold."""
     rows = asked_once(events, "prompt", model).withColumn("d", parsers.draft("answer"))
-    fine = F.col("d").isNotNull() & F.col("d.body").isNotNull() & (F.length("d.body") >= 12)
+    fine = F.col("d").isNotNull() & parsers.is_publishable("d.headline", "d.body", F.lit(False))
     return rows.select("id", F.col("d.headline").alias("headline"), F.col("d.body").alias("body"), F.when(F.coalesce(fine, F.lit(False)), "draft").otherwise("hold").alias("status"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
@@ -14,9 +15,9 @@ from tidewire.functions.text import col
 
 ENTRY = "external_id string, url string, title string, text string, lang string, published string, media array<struct<kind:string,url:string,width:int,size_bytes:bigint>>"
 #: Parts of image addresses that stand for no image of the post.
-PLACEHOLDERS = ("placeholder", "no-image", "noimage", "default", "logo", "blank", "spacer", "1x1", "pixel")
+PLACEHOLDERS = ("default.jpg", "default.png", "placeholder", "no_image", "noimage", "no-image", "blank.")
 #: Page metadata that names an image, best first.
-OG_KEYS = ("og:image:secure_url", "og:image:url", "og:image", "twitter:image", "twitter:image:src")
+OG_KEYS = ("og:image", "og:image:url", "og:image:secure_url", "twitter:image", "twitter:image:src")
 
 
 def _local(tag: str) -> str:
@@ -33,11 +34,16 @@ def _kind(mime: str | None, url: str) -> str:
     return "image"
 
 
-def parse_feed(raw: bytes | None, default_lang: str | None = None) -> list[dict]:
+def _bare(x: str | None) -> str | None:
+    """Without markup and entities."""
+    return html.unescape(re.sub(r"<[^>]+>", "", x or "")).strip() or None
+
+
+def parse_feed(raw: bytes | None, default_lang: str | None = None, placeholders: tuple[str, ...] = PLACEHOLDERS) -> list[dict]:
     """Entries of an RSS or Atom feed. Entries without an id, guid or link are skipped; what is no feed gives none.
 
     Media come from enclosures, media:content and thumbnails; the first of an address counts, and
-    placeholders are left out. No external entity is ever resolved.
+    placeholders (parts of addresses) are left out. Titles and texts lose their markup. No external entity is ever resolved.
     """
     if not raw or b"<!ENTITY" in raw[:4096]:
         return []
@@ -57,13 +63,13 @@ def parse_feed(raw: bytes | None, default_lang: str | None = None) -> list[dict]
                 first.setdefault(tag, link or text)
             url, mime = e.get("url") or e.get("href"), e.get("type")
             if url and (tag in ("enclosure", "thumbnail") or tag == "content" and "}" in e.tag and e.get("url") or tag == "link" and e.get("rel") == "enclosure"):
-                if not any(p in url.lower() for p in PLACEHOLDERS):
+                if not any(p in url.lower() for p in placeholders):
                     media.setdefault(url, {"kind": _kind(mime, url), "url": url, "width": _number(e.get("width")), "size_bytes": _number(e.get("length") or e.get("fileSize"))})
         key = first.get("id") or first.get("guid") or first.get("link")
         if key:
             out.append(
                 {
-                    "external_id": key, "url": first.get("link"), "title": first.get("title"), "text": first.get("encoded") or first.get("content") or first.get("summary") or first.get("description"),
+                    "external_id": key, "url": first.get("link"), "title": _bare(first.get("title")), "text": _bare(first.get("encoded") or first.get("content") or first.get("summary") or first.get("description")),
                     "lang": lang, "published": first.get("pubdate") or first.get("published") or first.get("updated"), "media": list(media.values()),
                 }
             )
@@ -97,7 +103,7 @@ def og_image(page: str | Column) -> Column:
     """The image named by a page's metadata, in whatever order its attributes stand; null if there is none."""
     metas = F.regexp_extract_all(F.coalesce(col(page), F.lit("")), F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(0))
     key = lambda m: F.lower(F.regexp_extract(m, r"(?is)\b(?:property|name)\s*=\s*[\"']([^\"']+)[\"']", 1))
-    content = lambda m: F.regexp_extract(m, r"(?is)\bcontent\s*=\s*[\"']([^\"']+)[\"']", 1)
+    content = lambda m: F.trim(F.regexp_extract(m, r"(?is)\bcontent\s*=\s*[\"']([^\"']+)[\"']", 1))
 
     def of(name: str) -> Column:
         urls = F.filter(F.transform(_keyed(metas, key, name), content), lambda u: u != "")

@@ -1,9 +1,10 @@
 """Problem 9: sources mixed to target weights.
 
 Method: soft-membership mixing. Each document has a membership in the domains (the sources with
-a target): documents with a source belong to it; for those without one a naive Bayes classifier,
-fitted on a bounded sample of labelled rows, predicts the posterior of every domain and of "none
-of them", and they take part where a domain is likely enough. Nonnegative document rates are fitted by
+a target): documents with a source belong to it, for a label leaves nothing to predict; for those
+without one a naive Bayes classifier, fitted on a bounded sample of labelled rows, predicts the
+posterior of every domain and of "none of them", and that posterior is their membership. They
+stand for their likeliest domain, whose cap holds for them. Nonnegative document rates are fitted by
 distributed projected gradient descent on the squared relative gaps between expected domain
 tokens and their targets. Each step is one pass over the documents that returns one sum per
 domain; a document's rate follows from the steps so far, so rates are never stored or moved.
@@ -29,8 +30,6 @@ from tidewire.session import Scratch
 
 #: Labelled rows per class on which the classifier is fitted at most, and its number of hashed features.
 FIT_ROWS, FEATURES = 2_000, 1 << 13
-#: Posterior of a domain from which a document without a source takes part.
-LIKELY = 0.95
 STEPS, TOLERANCE, RATE = 60, 1e-5, 0.7
 TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
 #: Size classes (powers of two of tokens) and bins of the hash by which uses are made whole.
@@ -135,7 +134,7 @@ class Mix:
 
     def __init__(
         self, spark: SparkSession, documents: DataFrame, targets: DataFrame, vocabulary: str = tokenizer.VOCABULARY,
-        fit_rows: int = FIT_ROWS, likely: float = LIKELY, total_tokens: float | None = None,
+        fit_rows: int = FIT_ROWS, total_tokens: float | None = None,
     ) -> None:
         self.spark, self.scratch = spark, Scratch(spark, "mixing")
         # targets are a parameter table: one row per source
@@ -152,12 +151,9 @@ class Mix:
 
         def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                p = [shared.value.posterior(t) for t in batch.column(1).to_pylist()]
-                best = [int(np.argmax(x[:d])) if d else 0 for x in p]
-                keep = [i for i, x in enumerate(p) if d and x[best[i]] >= likely]
-                pick = pa.array(keep, pa.int64())
+                p = [shared.value.posterior(t)[:d] for t in batch.column(1).to_pylist()] if d else []
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pick), pa.array([best[i] for i in keep], pa.int32()), pa.array([list(map(float, p[i][:d])) for i in keep], pa.list_(pa.float64())), batch.column(1).take(pick)],
+                    [batch.column(0).slice(0, len(p)), pa.array([int(np.argmax(x)) for x in p], pa.int32()), pa.array([list(map(float, x)) for x in p], pa.list_(pa.float64())), batch.column(1).slice(0, len(p))],
                     names=["doc_id", "domain", "members", "text"],
                 )
 

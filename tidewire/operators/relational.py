@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +90,65 @@ def nearest_before(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
     return last.select("_left.*", *[F.col(f"_row.{c}").alias(f"last_{c}") for c in cols])
 
 
+#: Query vectors that travel to the tasks at once, and rows of a task that meet them at once.
+QUERY_BLOCK, ROW_BLOCK = 4096, 8192
+
+
+def nearest_vectors(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(query_id, id, score, rank): for each query its k rows of greatest cosine, itself left out; score has six digits, ties go to the smaller id.
+
+    The queries go over all rows in blocks: each task keeps k rows a query of its own, and one
+    window ranks what is left. Null vectors, and those of another length than a query's, take no
+    part; a norm of 0 gives a cosine of 0.
+    """
+    spark = queries.sparkSession
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-q.count() // QUERY_BLOCK)))))
+    found = None
+    for b in range(max(1, q.agg(F.max("block")).first()[0] or 0) + 1 if not q.isEmpty() else 0):
+        held = q.where(F.col("block") == b).select("id", "v").toArrow()  # about QUERY_BLOCK vectors
+        if not held.num_rows:
+            continue
+        ids = held.column("id").to_numpy()
+        vectors = [np.array(v, float) for v in held.column("v").to_pylist()]
+        shared = spark.sparkContext.broadcast((ids, vectors))
+        near = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(_nearest(shared, k), "query_id bigint, id bigint, score double")
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        return spark.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
+    return top_k(found, ["query_id"], k, F.desc("score"), F.col("id"))
+
+
+def _nearest(shared, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = shared.value
+        best: dict[int, list[tuple[float, int]]] = {}
+        unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1.0)
+        sizes = {len(v) for v in vectors}
+        groups = {s: ([i for i, v in enumerate(vectors) if len(v) == s], unit(np.array([v for v in vectors if len(v) == s]).reshape(-1, s))) for s in sizes if s}
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROW_BLOCK):
+                part = batch.slice(at, ROW_BLOCK)
+                own, rows = part.column(0).to_numpy(), part.column(1).to_pylist()
+                for size, (places, block) in groups.items():
+                    pick = [i for i, v in enumerate(rows) if len(v) == size]
+                    if not pick:
+                        continue
+                    row_ids = own[pick]
+                    cos = np.round(block @ unit(np.array([rows[i] for i in pick], float)).T, 6)
+                    for j, place in enumerate(places):
+                        scores = np.where(row_ids == ids[place], -2.0, cos[j])
+                        # all that reach the k-th score, so that ties are settled by id below
+                        floor = np.partition(scores, -k)[-k] if len(scores) > k else -2.0
+                        hit = np.flatnonzero((scores >= floor) & (scores > -2))
+                        merged = best.get(place, []) + [(-float(scores[i]), int(row_ids[i])) for i in hit]
+                        best[place] = sorted(merged)[:k]
+        out = [(int(ids[p]), i, -s) for p, rows_ in best.items() for s, i in rows_]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], names=["query_id", "id", "score"])
+
+    return run
+
+
 def hamming_pairs(df: DataFrame, key: str, value: str, most: int = 6) -> DataFrame:
     """(a, b, distance) of rows whose 64-bit values differ in at most `most` bits, a < b.
 

@@ -191,3 +191,58 @@ def test_broken_encoding_is_read_again():
     text = "Рада повідомила, що рух обмежено до неділі."
     broken = text.encode().decode("cp1252", "replace")
     assert sum(a == b for a, b in zip(stuffing.repaired(broken), text)) > 0.8 * len(text)
+
+
+def test_repeated_runs_within_lines_are_cut(spark):
+    """A notice in the same line as a post's own words: all of it goes, and nothing else."""
+    rng = random.Random(1)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    notice = "This message was brought to you by the desk of the Harbour Courier; subscribe for more news, and do not forward it without the written consent of the publisher."
+    own = {i: (fresh(20), fresh(5) if i % 2 else "") for i in range(40)}
+    rows = [(i, 1, f"{a} {notice} {b}".rstrip()) for i, (a, b) in own.items()] + [(100 + i, 2, fresh(30)) for i in range(40)]
+    rows += [(200, None, notice), (201, 1, None), (202, 1, ""), (203, 1, "short\n" + notice), (204, 2, f"{fresh(3)} {notice}")]
+    df = spark.createDataFrame(rows, "id bigint, source_id int, text string").withColumn("line", F.lit("x")).withColumn("key", F.lit(1))
+    got = {r["id"]: r["text"] for r in lines.cleaned(spark, df.unionByName(df.where("id < 3"))).collect()}
+    given = {i: t for i, _, t in rows}
+    want = {i: f"{own[i][0]} {own[i][1]}".rstrip() if i in own else given[i] for i in given} | {203: "short"}
+    assert got == want
+    assert lines.cleaned(spark, df.where("false")).count() == 0
+
+
+EDITS = (9, 10, 11, 12, 14)
+
+
+def evenly_edited(seed):
+    """Pairs of records of which the second has every n-th word replaced: no long run is left."""
+    rng = random.Random(seed)
+    old, new = {}, {}
+    for k, gap in enumerate(EDITS):
+        for i in range(30):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(90, 161))]
+            old[k * 30 + i] = words
+            new[1000 + k * 30 + i] = [f"c{rng.randrange(10**9)}" if p % gap == gap // 2 else w for p, w in enumerate(words)]
+    return old, new
+
+
+def test_history_finds_evenly_edited_records_and_opens_again(spark, tmp_path):
+    three = lambda t: {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
+    old, new = evenly_edited(3)
+    want = {(i, 1000 + i) for i in old if 2 * len(three(old[i]) & three(new[1000 + i])) >= len(three(old[i]) | three(new[1000 + i]))}
+    frame = lambda texts: spark.createDataFrame([(i, None, " ".join(t)) for i, t in texts.items()], "id bigint, title string, text string")
+    store = history.FingerprintStore.create(spark, str(tmp_path / "store"), frame({i: t for i, t in old.items() if i % 2}))
+    store.accept(store.stage(frame({i: t for i, t in old.items() if i % 2 == 0})))
+    store.stage(frame(new))  # staged, never accepted: as after a crash
+    again = history.FingerprintStore.open(spark, str(tmp_path / "store"))
+    assert again.batches == 2 and again.parts == store.parts
+    match = lambda s: {(r["old_id"], r["id"]) for r in s.match(s.stage(frame(new))).collect()}
+    got = match(again)
+    assert len(want) > 100 and got <= want and len(got) >= 0.98 * len(want)
+    again.split(20)
+    assert match(history.FingerprintStore.open(spark, str(tmp_path / "store"))) == got
+
+
+def test_keys_of_many_classes_are_joined_in_blocks(spark):
+    rows = [(7, c) for c in range(90)] + [(8, c) for c in range(3)] + [(9, 1), (7, 5)]
+    keys = spark.createDataFrame(rows, "key bigint, class bigint")
+    got = [tuple(r) for r in neardup.met_pairs(keys, hot=10).collect()]
+    assert sorted(got) == sorted([(x, y) for y in range(90) for x in range(y)] + [(0, 1), (0, 2), (1, 2)])

@@ -2,13 +2,18 @@
 
 Method: content-defined chunking. A rolling hash over WINDOW characters cuts wherever its value
 has a fixed form, so the same wording gives the same chunks wherever it stands, and a text
-without line feeds is cut all the same. A line feed always cuts as well, so that no chunk spans
-two lines. Distinct documents are counted per source and chunk.
+without line feeds is cut all the same. Distinct documents are counted per source and chunk, and
+chunks repeated excessively are cut. A line feed ends a chunk as well: a repeated line must come
+out as a whole, however short it is.
 
-A line that stands in n documents of a source has all its chunks in at least n of them. So the
-lines whose witness chunk (the one of least hash) is repeated often enough are a superset of the
-repeated lines, and only these are counted exactly. cleaned() cuts whole repeated lines only; repeated
-chunks within a longer line stay.
+repeated_lines(): a line that stands in n documents of a source has all its chunks in at least n
+of them. So the lines whose witness chunk (the one of least hash) is repeated often enough are a
+superset of the repeated lines, and only these are counted exactly.
+
+cleaned(): repeated lines go as they are; within the other lines the runs of words that lie in
+repeated chunks are cut. A chunk ends anywhere in a word, so a run is first taken to whole words
+and then led on, word by word to either side, as long as enough documents of the source go on
+alike: what is cut is wording that the source repeats, up to its first and last word.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +33,10 @@ WINDOW = 8
 #: One character in so many ends a chunk on average.
 AVERAGE = 32
 LEAST_DOCUMENTS, LEAST_SHARE = 5, 0.05
+#: Characters that a run of repeated words within a line has at least, and words by which it is led on to either side at most (more than two chunks).
+LEAST_RUN, REACH = 64, 16
+#: Documents of a source that one task cleans at most, about.
+SPREAD = 50_000
 _B = 0x9E3779B97F4A7C15
 _INVERSE = pow(_B, -1, 1 << 64)
 
@@ -122,16 +132,9 @@ def _thresholds(items: DataFrame, least: int, share: float) -> DataFrame:
     return counts.select("source_id", "documents", F.greatest(F.lit(least), F.ceil(F.col("documents") * F.lit(share) - 1e-9)).alias("needed"))
 
 
-def repeated_lines(spark: SparkSession, items: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE) -> DataFrame:
-    """(source_id, line, documents): lines in at least `least` documents of a source and at least `share` of its documents with text.
-
-    A line counts once a document, a document (id) once. Rows without source, id or text are
-    ignored; blank texts don't count; an empty table gives no rows.
-    """
-    scratch = Scratch(spark, "lines")
-    rows = _known(items)
+def _counted(scratch: Scratch, rows: DataFrame, least: int, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(found, hot, needed): repeated lines, repeated chunks, and the bounds per source, of known rows."""
     needed = scratch.write(_thresholds(rows, least, share), "needed")
-    # repeated rows may count a chunk twice here: that only makes the superset larger
     counts = rows.select("source_id", "text").mapInArrow(_chunked, "source_id bigint, chunk bigint").groupBy("source_id", "chunk").agg(F.count("*").alias("n"))
     hot = scratch.write(counts.join(needed, "source_id").where("n >= needed").select("source_id", F.col("chunk").alias("witness")), "hot")
     # at most 1 / share times a source's chunks per document, counted before it is broadcast
@@ -141,22 +144,181 @@ def repeated_lines(spark: SparkSession, items: DataFrame, least: int = LEAST_DOC
         .join(small_side(hot, hot.count()), ["source_id", "witness"], "left_semi")
     )
     found = seen.groupBy("source_id", "line").agg(F.countDistinct("id").alias("documents"))
-    return found.join(needed.select("source_id", "needed"), "source_id").where("documents >= needed").select(F.col("source_id").cast("int").alias("source_id"), "line", "documents")
+    found = found.join(needed.select("source_id", "needed"), "source_id").where("documents >= needed").select(F.col("source_id").cast("int").alias("source_id"), "line", "documents")
+    return found, hot, needed
+
+
+def repeated_lines(spark: SparkSession, items: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE) -> DataFrame:
+    """(source_id, line, documents): lines in at least `least` documents of a source and at least `share` of its documents with text.
+
+    A line counts once a document, a document (id) once. Rows without source, id or text are
+    ignored; blank texts don't count; an empty table gives no rows.
+    """
+    # repeated rows may count a chunk twice here: that only makes the superset larger
+    return _counted(Scratch(spark, "lines"), _known(items), least, share)[0]
+
+
+class _Patterns:
+    """What a source repeats: whole lines, chunks, and how runs go on."""
+
+    def __init__(self) -> None:
+        self.lines: set[str] = set()
+        self.chunks: list[int] = []
+        self.going_on: set[int] = set()
+
+    def add(self, kind: int, key: int | None, line: str | None) -> None:
+        if kind == 0:
+            self.lines.add(line)
+        elif kind == 1:
+            self.chunks.append(key)
+        else:
+            self.going_on.add(key)
+
+    def runs(self, texts: list[str]) -> Iterator[tuple[int, int, list[str], list[tuple[int, int]]]]:
+        """(document, line, words, runs) of lines that aren't repeated as a whole but have runs (first word, end) of repeated chunks."""
+        at, forms = [], []
+        for d, text in enumerate(texts):
+            for k, raw in enumerate(text.split("\n")):
+                if len(raw) >= LEAST_RUN and (form := " ".join(raw.lower().split())) and form not in self.lines:
+                    at.append((d, k, raw.split()))
+                    forms.append(form)
+        if not forms or not self.chunks:
+            return
+        ends, hashes, line = chunks(forms)
+        begins = np.concatenate([[0], ends[:-1]])
+        hot = np.isin(hashes.view(np.int64), np.array(self.chunks, np.int64))
+        offsets = np.concatenate([[0], np.cumsum([len(f) + 1 for f in forms])])
+        for n in np.unique(line[hot]):
+            covered = np.zeros(len(forms[n]) + 2, np.int64)
+            for c in np.flatnonzero(hot & (line == n)):
+                covered[begins[c] - offsets[n] : ends[c] - offsets[n]] = 1
+            sums, where, words = np.concatenate([[0], np.cumsum(covered)]), 0, forms[n].split(" ")
+            spans = []
+            for w in words:
+                spans.append((where, where + len(w)))
+                where += len(w) + 1
+            inside = [sums[e] - sums[b] == e - b for b, e in spans]
+            found, i = [], 0
+            while i < len(words):
+                j = i
+                while j < len(words) and inside[j]:
+                    j += 1
+                if j > i and spans[j - 1][1] - spans[i][0] >= LEAST_RUN:
+                    found.append((i, j))
+                i = max(j, i + 1)
+            if found and len(words) == len(at[n][2]):
+                yield (*at[n][:2], at[n][2], found)
+
+
+def _contexts(words: list[str], run: tuple[int, int]) -> Iterator[tuple[int, int, int]]:
+    """(side, words, key) of what stands beside a run, for 1, 2, ... words, until the line ends."""
+    i, j = run
+    low = [w.lower() for w in words]
+    for k in range(1, min(REACH, i) + 1):
+        yield 0, k, xxhash.xxh3_64_intdigest("0 " + " ".join(low[i - k : i + 3])) - (1 << 63)
+    for k in range(1, min(REACH, len(words) - j) + 1):
+        yield 1, k, xxhash.xxh3_64_intdigest("1 " + " ".join(low[j - 3 : j + k])) - (1 << 63)
+
+
+def _cut(text: str, patterns: _Patterns, runs: dict[int, tuple[list[str], list[tuple[int, int]]]]) -> str:
+    """text without its source's repeated lines and runs."""
+    kept = []
+    for k, raw in enumerate(text.split("\n")):
+        if " ".join(raw.lower().split()) in patterns.lines:
+            continue
+        if k in runs:
+            words, found = runs[k]
+            gone = set()
+            for i, j in found:
+                more = [0, 0]
+                for side, n, key in _contexts(words, (i, j)):
+                    if n == more[side] + 1 and key in patterns.going_on:
+                        more[side] = n
+                gone |= set(range(i - more[0], j + more[1]))
+            pieces, where = [], 0
+            for n, w in enumerate(words):
+                start = raw.index(w, where)
+                if n not in gone:
+                    pieces.append((raw[where:start] if pieces and n - 1 not in gone else " " if pieces else "") + w)
+                where = start + len(w)
+            if not pieces:
+                continue
+            raw = "".join(pieces)
+        kept.append(raw)
+    return "\n".join(kept)
+
+
+_MERGED = "source_id bigint, salt int, kind int, key bigint, line string, id bigint, text string"
+
+
+def _by_source(clean: bool):
+    """Over rows of _MERGED, a source's patterns before its documents: the contexts (source_id, key) of each document's runs, or the cleaned documents."""
+
+    def segment(source: int, patterns: _Patterns, docs: list[tuple[int, str]]) -> tuple[list, ...]:
+        runs: dict[int, dict] = {}
+        for d, k, words, found in patterns.runs([t for _, t in docs]):
+            runs.setdefault(d, {})[k] = (words, found)
+        if clean:
+            return [source] * len(docs), [i for i, _ in docs], [_cut(t, patterns, runs.get(d, {})) for d, (_, t) in enumerate(docs)]
+        keys = [key for own in runs.values() for key in {key for words, found in own.values() for run in found for _, _, key in _contexts(words, run)}]
+        return [source] * len(keys), keys
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [("source_id", pa.int64()), ("id", pa.int64()), ("cleaned", pa.string())] if clean else [("source_id", pa.int64()), ("key", pa.int64())]
+        held, patterns, docs = None, _Patterns(), []
+        out: list[list] = [[] for _ in types]
+
+        def flush() -> None:
+            for column, more in zip(out, segment(held[0], patterns, docs)):
+                column.extend(more)
+
+        for batch in batches:
+            for source, salt, kind, key, line, i, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (source, salt) != held:
+                    if docs:
+                        flush()
+                    held, patterns, docs = (source, salt), _Patterns(), []
+                if kind < 3:
+                    patterns.add(kind, key, line)
+                else:
+                    docs.append((i, text))
+            if docs:
+                flush()
+                docs = []
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, types)], schema=pa.schema(types))
+            out = [[] for _ in types]
+
+    return run
 
 
 def cleaned(spark: SparkSession, items: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE) -> DataFrame:
-    """(id, source_id, text, removed_chars): each document once, its text freed of its source's repeated lines.
+    """(id, source_id, text, removed_chars): each document once, its text freed of its source's repeated lines and of repeated runs within its lines.
 
-    Lines keep their own form; null texts stay null; a text of repeated lines only becomes empty.
-    A source's repeated lines are at most 1 / share times its lines per document, so they travel
-    as one array per source and are joined by source.
+    What is kept has its own form; null texts, and texts without a source, stay as they are; a text
+    of repeated lines only becomes empty. Documents meet the patterns of their source in tasks of
+    about SPREAD documents, patterns first; neither side is broadcast.
     """
     scratch = Scratch(spark, "clean")
-    found = scratch.write(repeated_lines(spark, items, least, share), "found")
-    by_source = found.groupBy("source_id").agg(F.collect_set("line").alias("repeated"))
-    once = items.where(F.col("id").isNotNull()).select("id", "source_id", "text").dropDuplicates(["id"])
-    pieces = F.split("text", "\n")
-    form = lambda x: F.trim(F.regexp_replace(F.lower(x), r"(?U)[\s\x1c-\x1f\x85]+", " "))
-    kept = F.filter(pieces, lambda x: ~F.array_contains(F.col("repeated"), form(x)))
-    text = F.when(F.col("repeated").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return once.join(by_source, "source_id", "left").select("id", "source_id", text.alias("text"), (F.length("text") - F.length(text)).alias("removed_chars"))
+    once = scratch.write(items.where(F.col("id").isNotNull()).select("id", "source_id", "text").dropDuplicates(["id"]), "once")
+    rows = _known(once)
+    found, hot, needed = _counted(scratch, rows, least, share)
+    found = scratch.write(found, "found")
+    most = needed.agg(F.max("documents")).first()[0] or 0
+    salts = -(-most // SPREAD) or 1
+    none = {f.split()[0]: F.lit(None).cast(f.split()[1]) for f in _MERGED.split(", ")}
+
+    def merged(patterns: DataFrame) -> DataFrame:
+        spread = patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        docs = rows.select("source_id", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), F.lit(3).alias("kind"), none["key"].alias("key"), none["line"].alias("line"), "id", "text")
+        both = spread.select("source_id", F.col("salt").cast("int").alias("salt"), "kind", "key", "line", none["id"].alias("id"), none["text"].alias("text")).unionByName(docs)
+        return both.repartition("source_id", "salt").sortWithinPartitions("source_id", "salt", "kind")
+
+    lines = found.select(F.col("source_id").cast("bigint").alias("source_id"), F.lit(0).alias("kind"), none["key"].alias("key"), "line")
+    patterns = lines.unionByName(hot.select("source_id", F.lit(1).alias("kind"), F.col("witness").alias("key"), none["line"].alias("line")))
+    contexts = merged(patterns).mapInArrow(_by_source(False), "source_id bigint, key bigint").groupBy("source_id", "key").agg(F.count("*").alias("n"))
+    going_on = contexts.join(needed, "source_id").where("n >= needed").select("source_id", F.lit(2).alias("kind"), "key", none["line"].alias("line"))
+    patterns = patterns.unionByName(scratch.write(going_on, "going_on"))
+    done = merged(patterns).mapInArrow(_by_source(True), "source_id bigint, id bigint, cleaned string").select("id", "cleaned")
+    text = F.coalesce("cleaned", "text")
+    whole = once.join(done, "id", "left")
+    return whole.select("id", "source_id", text.alias("text"), (F.length("text") - F.length(text)).alias("removed_chars"))

@@ -64,9 +64,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or, on one machine, one of our own where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = os.environ.get("TIDEWIRE_SHARED_DIR", "/tmp/tidewire-shared")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -119,3 +121,25 @@ class Scratch:
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if its counted rows stay within limit; else Spark shuffles it."""
     return F.broadcast(df) if rows <= limit else df
+
+
+#: Rows of one key from which a join takes it out of the shuffle.
+HOT_ROWS = 1_000_000
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """left join right on key, where right has a key once and one key may hold a large part of left.
+
+    Keys of more than hot_rows rows, at most rows / hot_rows of them, are joined with a broadcast of
+    their few rows of right, so that left's stay where they lie; the others are shuffled. rows: how
+    many left has, if known; a left of no more than hot_rows rows isn't looked through.
+    """
+    if (left.count() if rows is None else rows) <= hot_rows:
+        return left.join(right, key, how)
+    hot = left.groupBy(key).count().where(F.col("count") > hot_rows).select(key)
+    keys = [r[0] for r in hot.collect()]  # at most rows / hot_rows
+    if not keys:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    few = F.broadcast(right.where(is_hot))
+    return left.where(~is_hot).join(right, key, how).unionByName(left.where(is_hot).join(few, key, how))

@@ -246,3 +246,50 @@ def test_keys_of_many_classes_are_joined_in_blocks(spark):
     keys = spark.createDataFrame(rows, "key bigint, class bigint")
     got = [tuple(r) for r in neardup.met_pairs(keys, hot=10).collect()]
     assert sorted(got) == sorted([(x, y) for y in range(90) for x in range(y)] + [(0, 1), (0, 2), (1, 2)])
+
+
+def brute_nearest(rows, asked, k=10):
+    ids, m = [i for i, _ in rows], np.array([v for _, v in rows], float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    out = set()
+    for q in asked:
+        cos = np.round(m @ m[ids.index(q)], 9)
+        out |= {(q, c) for _, c in sorted((-x, c) for x, c in zip(cos, ids) if c != q)[:k]}
+    return out
+
+
+def test_copies_of_vectors_are_one_and_large_buckets_are_split(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=64)
+    near = [(base + rng.normal(size=64) * 0.1).tolist() for _ in range(60)]
+    rows = [(i, near[0]) for i in range(0, 120, 2)] + [(1000 + i, v) for i, v in enumerate(near[1:])] + [(2000 + i, (-base + rng.normal(size=64) * 0.1).tolist()) for i in range(9)]
+    df = spark.createDataFrame(rows, "id bigint, centroid array<double>")
+    want = brute_nearest(rows, [i for i, _ in rows])
+    got = [(r["q"], r["c"]) for r in vectors.nearest(spark, df, "id", "centroid", hot=25, code_bits=60).collect()]
+    assert len(got) == len(set(got)) and len(set(got) & want) >= 0.95 * len(want)
+    copies = {(q, c) for q, c in want if q < 200}
+    assert copies <= set(got)
+    asked = [i for i, _ in rows if i % 10 == 0]
+    queries_ = vectors.vectors(df.where("id % 10 = 0"), "id", "centroid")
+    got = [(r["q"], r["c"]) for r in vectors.nearest(spark, df, "id", "centroid", queries=queries_, code_bits=60).collect()]
+    want = brute_nearest(rows, asked)
+    assert len(got) == len(set(got)) and len(set(got) & want) >= 0.95 * len(want) and {x for x in want if x[0] < 200} <= set(got)
+
+
+def test_groups_with_joins_of_hot_keys(spark):
+    pairs = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(200)] + [(5000, 5001)]
+    got = {tuple(r) for r in components.connected_groups(spark, spark.createDataFrame(pairs, "a bigint, b bigint"), hub_degree=20, hot_rows=30).collect()}
+    assert got == groups(pairs)
+
+
+def test_packing_does_not_depend_on_the_blocks(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, "word " * rng.choice((3, 3, 3, 7, 20))) for i in range(200)], "doc_id bigint, text string")
+    windows = spark.createDataFrame([("w", 40)], "window_name string, capacity_tokens int")
+    one, many = (packing.packed(spark, docs, windows, blocks=b).collect() for b in (1, 7))
+    for placed in (one, many):
+        room = {}
+        for r in placed:
+            room[r["container"]] = room.get(r["container"], 0) + r["tokens"]
+        assert max(room.values()) <= 40 and len({(r["doc_id"], r["piece"]) for r in placed}) == len(placed) == 200
+    assert len({r["container"] for r in one}) == len({r["container"] for r in many})

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.session import Scratch
+from tidewire.session import HOT_ROWS, Scratch, joined, small_side
 
 BETA = 0.1
 ROUNDS = 6
@@ -60,6 +60,8 @@ def decompose(scratch: Scratch, edges: DataFrame, level: int, rounds: int = ROUN
     hubs = degree.where(F.col("degree") > hub_degree).select("v", F.ceil(F.col("degree") / F.lit(hub_degree)).cast("int").alias("salts"))
     hub = not hubs.isEmpty()
     if hub:
+        hubs = scratch.write(hubs, f"hubs{level}")
+        hubs = small_side(hubs, hubs.count())  # so that no hub's neighbours meet before they are salted
         of = hubs.withColumnRenamed("v", "src")
         reach = reach.join(of, "src", "left").withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int")).select("src", "dst", "hop", "salt")
     for _ in range(rounds):
@@ -73,14 +75,16 @@ def decompose(scratch: Scratch, edges: DataFrame, level: int, rounds: int = ROUN
     return labels.select("v", "c")
 
 
-def contract(edges: DataFrame, clusters: DataFrame) -> DataFrame:
-    """The distinct edges between different clusters."""
+def contract(edges: DataFrame, clusters: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The distinct edges between different clusters. edges: a written table."""
     a = clusters.select(F.col("v").alias("a"), F.col("c").alias("ca"))
     b = clusters.select(F.col("v").alias("b"), F.col("c").alias("cb"))
-    return _undirected(edges.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    n = edges.count()
+    both = joined(joined(edges, a, "a", rows=n, hot_rows=hot_rows), b, "b", rows=n, hot_rows=hot_rows)
+    return _undirected(both.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
 
 
-def connected_groups(spark: SparkSession, edges: DataFrame, rounds: int = ROUNDS, hub_degree: int = HUB_DEGREE) -> DataFrame:
+def connected_groups(spark: SparkSession, edges: DataFrame, rounds: int = ROUNDS, hub_degree: int = HUB_DEGREE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(v, group_id) for each vertex of an edge between two different ones; group_id is its group's least vertex.
 
     edges: (a, b) BIGINT. Nulls, loops and repeated or reversed pairs are dropped; an empty
@@ -91,19 +95,19 @@ def connected_groups(spark: SparkSession, edges: DataFrame, rounds: int = ROUNDS
     level, maps = 0, []
     while not now.isEmpty():
         maps.append(scratch.write(decompose(scratch, now, level, rounds, hub_degree), f"map{level}"))
-        now = scratch.write(contract(now, maps[-1]), f"edges{level + 1}")
+        now = scratch.write(contract(now, maps[-1], hot_rows), f"edges{level + 1}")
         scratch.drop(f"edges{level}", f"degree{level}")
         scratch.release()
         level += 1
     if not maps:
         return now.select(F.col("a").alias("v"), F.col("b").alias("group_id"))
-    # compose from the last level down, so that each join is of the size of its level
+    # compose from the last level down, so that each join is of the size of its level; a giant group's vertices aren't brought to its centre
     root = maps[-1].select("v", F.col("c").alias("root"))
     for k in range(level - 2, -1, -1):
         up = root.select(F.col("v").alias("c"), F.col("root"))
-        root = scratch.write(maps[k].join(up, "c", "left").select("v", F.coalesce("root", "c").alias("root")), f"root{k}")
+        root = scratch.write(joined(maps[k], up, "c", "left", hot_rows=hot_rows).select("v", F.coalesce("root", "c").alias("root")), f"root{k}")
     least = root.groupBy("root").agg(F.min("v").alias("group_id"))
-    return root.join(least, "root").select("v", "group_id")
+    return joined(root, least, "root", hot_rows=hot_rows).select("v", "group_id")
 
 
 def event_groups(spark: SparkSession, verdicts: DataFrame) -> DataFrame:
@@ -113,7 +117,8 @@ def event_groups(spark: SparkSession, verdicts: DataFrame) -> DataFrame:
 
 def canonical_events(spark: SparkSession, verdicts: DataFrame, events: DataFrame) -> DataFrame:
     """(event_id, group_id, members, known): each event's group, the group's size and whether the event is still in events."""
-    groups = event_groups(spark, verdicts)
+    scratch = Scratch(spark, "canonical")
+    groups = scratch.write(event_groups(spark, verdicts), "groups")
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("members"))
     known = events.select(F.col("id").alias("event_id"), F.lit(True).alias("is_known")).distinct()
-    return groups.join(sizes, "group_id").join(known, "event_id", "left").select("event_id", "group_id", "members", F.coalesce("is_known", F.lit(False)).alias("known"))
+    return joined(groups, sizes, "group_id").join(known, "event_id", "left").select("event_id", "group_id", "members", F.coalesce("is_known", F.lit(False)).alias("known"))

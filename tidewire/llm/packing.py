@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import tokenizer
-from tidewire.session import Scratch
+from tidewire.session import Scratch, small_side
 
-#: Blocks over which the items of a length are ranked; a block of a length is sorted by one task.
-BLOCKS = 256
+#: Blocks over which the items of a length are ranked, at least, and items for which there is one more; a block of a length is sorted by one task.
+BLOCKS, BLOCK_ROWS = 256, 1_000_000
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -95,7 +95,7 @@ def pieces(sizes: DataFrame, windows: DataFrame) -> DataFrame:
     ).select("window_name", "capacity", "doc_id", F.col("piece").cast("int").alias("piece"), F.when(F.col("piece") < F.col("full"), F.col("capacity").cast("bigint")).otherwise(F.col("tokens") - F.col("full") * F.col("capacity")).alias("tokens"))
 
 
-def packed(spark: SparkSession, documents: DataFrame, windows: DataFrame, vocabulary: str = tokenizer.VOCABULARY, blocks: int = BLOCKS) -> DataFrame:
+def packed(spark: SparkSession, documents: DataFrame, windows: DataFrame, vocabulary: str = tokenizer.VOCABULARY, blocks: int | None = None) -> DataFrame:
     """(window_name, capacity, container, doc_id, piece, tokens): where each piece of each document goes, for every window.
 
     documents: (doc_id, text), doc_id unique (of repeated ids one counts); null and empty texts
@@ -104,6 +104,7 @@ def packed(spark: SparkSession, documents: DataFrame, windows: DataFrame, vocabu
     scratch = Scratch(spark, "packing")
     once = tokenizer.counted(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), "text", vocabulary)
     sizes = scratch.write(once.groupBy("doc_id").agg(F.max("tokens").alias("tokens")), "sizes")
+    blocks = blocks or max(BLOCKS, -(-sizes.count() // BLOCK_ROWS))
     items = pieces(sizes, windows).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
     items = scratch.write(items, "items")
     key = ["window_name", "tokens"]
@@ -128,7 +129,8 @@ def packed(spark: SparkSession, documents: DataFrame, windows: DataFrame, vocabu
     by_length = spans.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("low", "high", "each", "first"))).alias("spans"))
     rank = F.row_number().over(Window.partitionBy("window_name", "tokens", "block").orderBy("doc_id", "piece")) - 1
     ranked = items.withColumn("at", rank).join(before.select(*key, "block", F.coalesce("offset", F.lit(0)).alias("offset")), [*key, "block"])
-    placed = ranked.join(by_length, key).withColumn("rank", F.col("at") + F.col("offset"))
+    # at most windows x capacity rows: sent to the items, so that those of a popular length stay where they lie
+    placed = ranked.join(small_side(by_length, len(rows)), key).withColumn("rank", F.col("at") + F.col("offset"))
     span = F.element_at(F.filter("spans", lambda s: (s["low"] <= F.col("rank")) & (F.col("rank") < s["high"])), 1)
     return placed.withColumn("span", span).select(
         "window_name", "capacity", (F.col("span.first") + F.floor((F.col("rank") - F.col("span.low")) / F.col("span.each"))).cast("bigint").alias("container"), "doc_id", "piece", "tokens"

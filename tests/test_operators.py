@@ -128,13 +128,6 @@ def test_text(spark):
         spark.range(1).select(scores.gate_decision(F.lit("odd"), F.lit(1), F.lit(True), F.lit(True), F.lit(True), F.lit(False)).alias("x")).collect()
 
 
-def test_signature_of_every_tenth_post_is_what_the_collectors_stored(spark, sf):
-    from tidewire.plans import reference
-
-    rows = reference.x03_simhash(spark, sf).where("stored is not null").collect()
-    assert len(rows) > 100 and all(r["simhash"] == r["stored"] for r in rows)
-
-
 # ---- console, readers, streams -----------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,7 +64,9 @@ def greedy_clusters(rows: DataFrame, key: str, threshold: float = 0.83, hours: f
 
     rows: (key, id, at, vector), taken in the order of at, id. A cluster is open for `hours` after
     its last member; its centroid is the running mean; among equals the earliest cluster wins.
-    cluster_id is the id of its first member. Rows without vector or time are left out.
+    cluster_id is the id of its first member. Rows without vector or time are left out. A pause of
+    more than `hours` closes every cluster of a key, so what lies between two pauses is a fold, and
+    a task, of its own.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -97,7 +99,10 @@ def greedy_clusters(rows: DataFrame, key: str, threshold: float = 0.83, hours: f
         return pd.DataFrame(out, columns=["key", "id", "cluster_id", "cosine"])
 
     kept = rows.where(F.col("vector").isNotNull() & F.col("at").isNotNull()).select(F.col(key).cast("string").alias("key"), F.col("id").cast("bigint").alias("id"), "at", F.col("vector").cast("array<double>").alias("vector"))
-    return kept.groupBy("key").applyInPandas(fold, "key string, id bigint, cluster_id bigint, cosine double")
+    by_time = Window.partitionBy("key").orderBy("at", "id")
+    pause = F.unix_micros("at") - F.unix_micros(F.lag("at").over(by_time)) > int(hours * 3_600_000_000)
+    kept = kept.withColumn("pause", F.coalesce(pause, F.lit(False)).cast("int")).withColumn("run", F.sum("pause").over(by_time)).drop("pause")
+    return kept.groupBy("key", "run").applyInPandas(fold, "key string, id bigint, cluster_id bigint, cosine double")
 
 
 def merged_facts(facts: DataFrame, threshold: float = 0.85) -> DataFrame:

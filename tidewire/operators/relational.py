@@ -149,27 +149,51 @@ def _nearest(shared, k: int):
     return run
 
 
-def hamming_pairs(df: DataFrame, key: str, value: str, most: int = 6) -> DataFrame:
-    """(a, b, distance) of rows whose 64-bit values differ in at most `most` bits, a < b.
+def hamming_pairs(df: DataFrame, key: str, value: str, most: int = 6, within: str | None = None) -> DataFrame:
+    """(a, b, distance) of rows whose 64-bit values differ in at most `most` bits, a < b; within: a column they must share.
 
-    Pigeonhole: of most + 1 bands one is equal in every such pair, so banding loses none. Equal
-    values are one band row each way: rows with the same value are joined as values first.
+    Pigeonhole: of most // 2 + 1 chunks one differs in a single bit at most, so each value is looked
+    up under its chunks and under every chunk with one bit changed, and no pair is lost. Rows of
+    the same value are joined as values first; null keys and values take no part.
     """
-    bands = most + 1
-    ends = [round(64 * i / bands) for i in range(bands + 1)]
-    known = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v")).distinct()
-    values = known.select("v").distinct()
-    cut = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft("v", 64 - hi), 64 - hi + lo).alias("bits")) for i, (lo, hi) in enumerate(zip(ends, ends[1:]))])
-    keyed = values.select("v", F.explode(cut).alias("x")).select("v", "x.band", "x.bits")
-    a, b = keyed.withColumnRenamed("v", "va"), keyed.withColumnRenamed("v", "vb")
-    near = a.join(b, ["band", "bits"]).where((F.col("va") < F.col("vb")) & (F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))) <= most)).select("va", "vb").distinct()
-    same = values.select(F.col("v").alias("va"), F.col("v").alias("vb"))
-    all_ = near.unionByName(same)
-    ka, kb = known.select(F.col("k").alias("ka"), F.col("v").alias("va")), known.select(F.col("k").alias("kb"), F.col("v").alias("vb"))
-    met = all_.join(ka, "va").join(kb, "vb").where((F.col("va") != F.col("vb")) | (F.col("ka") < F.col("kb")))
+    chunks = most // 2 + 1
+    ends = [round(64 * i / chunks) for i in range(chunks + 1)]
+    group = F.lit(0) if within is None else F.col(within)
+    known = df.where(F.col(key).isNotNull() & F.col(value).isNotNull() & group.isNotNull()).select(group.alias("g"), F.col(key).alias("k"), F.col(value).alias("v")).distinct()
+    values = known.select("g", "v").distinct()
+    bits = lambda lo, hi: F.shiftrightunsigned(F.shiftleft("v", 64 - hi), 64 - hi + lo)
+    exact = F.array(*[F.struct(F.lit(i).alias("chunk"), bits(lo, hi).alias("bits")) for i, (lo, hi) in enumerate(zip(ends, ends[1:]))])
+    flips = [F.struct(F.lit(i).alias("chunk"), bits(lo, hi).bitwiseXOR(F.lit(m)).alias("bits")) for i, (lo, hi) in enumerate(zip(ends, ends[1:])) for m in (0, *(1 << j for j in range(hi - lo)))]
+    held = values.select("g", F.col("v").alias("vb"), F.explode(exact).alias("x")).select("g", "vb", "x.chunk", "x.bits")
+    look = values.select("g", F.col("v").alias("va"), F.explode(F.array(*flips)).alias("x")).select("g", "va", "x.chunk", "x.bits")
+    close = F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))) <= most
+    near = look.join(held, ["g", "chunk", "bits"]).where((F.col("va") < F.col("vb")) & close).select("g", "va", "vb").distinct()
+    all_ = near.unionByName(values.select("g", F.col("v").alias("va"), F.col("v").alias("vb")))
+    ka, kb = known.select("g", F.col("k").alias("ka"), F.col("v").alias("va")), known.select("g", F.col("k").alias("kb"), F.col("v").alias("vb"))
+    met = all_.join(ka, ["g", "va"]).join(kb, ["g", "vb"]).where((F.col("va") != F.col("vb")) | (F.col("ka") < F.col("kb")))
     return met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))).alias("distance"))
 
 
+def exact_median(df: DataFrame, group: str, value: str, parts: int = 256) -> DataFrame:
+    """A2: (group, median) without bringing a group's values together; nulls don't count.
+
+    Approximate quantiles cut each group's values into parts; counts tell in which part the middle
+    lies, and only that part's different values are ranked.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
+    cuts = rows.groupBy(group).agg(F.percentile_approx("_v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10_000)).alias("_cuts"))
+    placed = rows.join(cuts, group).select(group, "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_part"))
+    values = placed.groupBy(group, "_part", "_v").agg(F.count("*").alias("_n"))
+    sizes = values.groupBy(group, "_part").agg(F.sum("_n").alias("_size"))
+    by_part = Window.partitionBy(group).orderBy("_part")
+    sizes = sizes.withColumn("_before", F.sum("_size").over(by_part) - F.col("_size")).withColumn("_all", F.sum("_size").over(Window.partitionBy(group)))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = sizes.where((F.col("_before") <= high) & (F.col("_before") + F.col("_size") > low)).drop("_size")
+    ranked = values.join(middle, [group, "_part"]).withColumn("_to", F.col("_before") + F.sum("_n").over(Window.partitionBy(group, "_part").orderBy("_v")))
+    hits = lambda at: (F.col("_to") - F.col("_n") <= at) & (F.col("_to") > at)
+    return ranked.groupBy(group).agg(((F.max(F.when(hits(low), F.col("_v"))) + F.max(F.when(hits(high), F.col("_v")))) / 2).alias("median"))
+
+
 def prefixes(path: str | Column, limit: int = 5) -> Column:
     """All non-empty prefixes of an array."""
     p = F.col(path) if isinstance(path, str) else path

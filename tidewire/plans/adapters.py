@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.session import table
@@ -22,6 +22,11 @@ def items(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return once(df.select("id", *[c for c in columns if c != "id"]) if columns else df)
 
 
+def derived(spark: SparkSession, d: str, *columns: Column) -> DataFrame:
+    """What is derived of each news item, each id once: repeated rows are dropped after the projection, so texts aren't shuffled."""
+    return once(table(spark, d, "news_items").select("id", *columns))
+
+
 def news_events(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     df = table(spark, d, "news_events")
     return once(df.select("id", *[c for c in columns if c != "id"]) if columns else df)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import scores, text
 from tidewire.operators import relational as R
 from tidewire.plans import adapters as A
-from tidewire.plans.reference import AS_OF, BOTH, EVENTS, ITEMS, JOURNAL, KINDS, METRICS, SUBS, TIERS, _case, _map, query
+from tidewire.plans.reference import AS_OF, BOTH, EVENTS, ITEMS, JOURNAL, KINDS, METRICS, NORM, SUBS, TIERS, _case, _map, query
 from tidewire.session import table
 
 _LATEST = f"(SELECT * FROM (SELECT m.*, row_number() OVER (PARTITION BY item_id ORDER BY measured_at DESC, id DESC) AS rn FROM {METRICS} m) WHERE rn = 1)"
@@ -33,7 +33,7 @@ def a01_status_counts(spark, d):
 b AS (SELECT min(v) AS lo, max(v) AS hi FROM m) SELECT rubric, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0.5 END, 6) AS demand FROM m, b""")
 def a02_rubric_demand(spark, d):
     weighted = _latest_rated(spark, d).withColumn("weighted", F.col("rate") * _map(F.col("tier"), TIERS))
-    medians = weighted.groupBy("rubric").agg(F.median("weighted").alias("v"))
+    medians = R.exact_median(weighted, "rubric", "weighted").withColumnRenamed("median", "v")
     # one row per rubric: the whole-table window runs over a vocabulary
     all_ = Window.partitionBy(F.lit(1))
     return medians.select("rubric", F.round(scores.min_max("v", F.min("v").over(all_), F.max("v").over(all_)), 6).alias("demand"))
@@ -44,19 +44,6 @@ def a03_engagement_rate(spark, d):
     return _latest_rated(spark, d).select("item_id", F.round("rate", 6).alias("rate"))
 
 
-@query(f"SELECT user_id AS item_id, arg_max(f, struct_pack(a := ts, b := event_id)) AS forwards FROM (SELECT *, CAST(floor(value) AS INT) AS f FROM events) WHERE f <> 0 GROUP BY user_id")
-def a04_latest_truthy(spark, d):
-    m = A.metrics(spark, d).where("forwards <> 0")
-    return m.groupBy("item_id").agg(F.max_by("forwards", F.struct("measured_at", "id")).alias("forwards"))
-
-
-@query(f"""SELECT e.story_id, bool_or(s.is_official) AS has_official, bool_or(s.tier IN ('official', 'media')) AS high_rep FROM {EVENTS} e JOIN sources s ON s.id = e.first_source_id WHERE e.story_id IS NOT NULL GROUP BY e.story_id""")
-def a06_source_flags(spark, d):
-    s = A.sources(spark, d).select(F.col("id").alias("first_source_id"), "is_official", "tier")
-    e = A.news_events(spark, d, "story_id", "first_source_id").where("story_id is not null").join(F.broadcast(s), "first_source_id")
-    return e.groupBy("story_id").agg(F.bool_or("is_official").alias("has_official"), F.bool_or(F.col("tier").isin("official", "media")).alias("high_rep"))
-
-
 @query(f"SELECT topic_leaf_id, count(*) AS n FROM {EVENTS} WHERE topic_leaf_id IS NOT NULL GROUP BY topic_leaf_id HAVING count(*) >= 8 AND max(first_seen_at) - min(first_seen_at) >= INTERVAL 4 DAY")
 def a07_chronic_topics(spark, d):
     e = A.news_events(spark, d, "topic_leaf_id", "first_seen_at").where("topic_leaf_id is not null")
@@ -85,11 +72,11 @@ def a09_node_heat(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
     w = scores.recency_weight("o_orderdate", F.expr("timestamp '1998-08-02 00:00:00'"), 2400.0)
     # summed per leaf first, so that the roll-up to ancestors moves one row per leaf
-    leaf = o.groupBy("o_custkey").agg(F.sum(w).alias("w"), F.count("*").alias("n")).join(c, "o_custkey").join(F.broadcast(n), "c_nationkey")
+    leaf = o.groupBy("o_custkey").agg(F.sum(w).alias("w"), F.count("*").alias("n")).join(c, "o_custkey").join(n, "c_nationkey")
     levels = F.array(*[F.struct(F.lit(i).alias("depth"), F.col(k).cast("bigint").alias("node")) for i, k in enumerate(("n_regionkey", "c_nationkey", "o_custkey"))])
     g = leaf.select("w", "n", F.explode(levels).alias("at")).groupBy("at.depth", "at.node").agg(F.sum("w").alias("heat_"), F.sum("n").alias("events"))
     bounds = g.groupBy("depth").agg(F.min("heat_").alias("lo"), F.max("heat_").alias("hi"))
-    return g.join(F.broadcast(bounds), "depth").select("depth", "node", "events", F.round(scores.min_max("heat_", F.col("lo"), F.col("hi")), 4).alias("heat"))
+    return g.join(bounds, "depth").select("depth", "node", "events", F.round(scores.min_max("heat_", F.col("lo"), F.col("hi")), 4).alias("heat"))
 
 
 @query("""SELECT array_to_string(p, '/') AS path, count(*) AS event_count, CAST(len(p) AS INT) AS depth FROM (SELECT id, (k)[1:n] AS p FROM (SELECT id, k, unnest(range(1, least(len(k), 5) + 1)) AS n FROM (SELECT DISTINCT id, keywords AS k FROM news_events WHERE len(keywords) > 0))) GROUP BY p""")
@@ -99,22 +86,6 @@ def a11_taxonomy_build(spark, d):
     return p.groupBy("p").agg(F.count("*").alias("event_count")).select(F.array_join("p", "/").alias("path"), "event_count", F.size("p").alias("depth"))
 
 
-@query("SELECT name, consecutive_failures, last_success_at IS NOT NULL AND consecutive_failures = 0 AS healthy FROM sources")
-def a14_source_health(spark, d):
-    return A.sources(spark, d).select("name", "consecutive_failures", (F.col("last_success_at").isNotNull() & (F.col("consecutive_failures") == 0)).alias("healthy"))
-
-
-@query("SELECT event_id, count(DISTINCT id) AS attempts FROM merge_verdicts WHERE mode = 'unavailable' GROUP BY event_id HAVING count(DISTINCT id) >= 2")
-def a15_unresolved(spark, d):
-    v = table(spark, d, "merge_verdicts").where("mode = 'unavailable'")
-    return v.groupBy("event_id").agg(F.countDistinct("id").alias("attempts")).where("attempts >= 2")
-
-
-@query("SELECT kind, count(*) AS n, count(lang) AS with_lang, count(region) AS with_region FROM sources GROUP BY kind")
-def a17_kind_counts(spark, d):
-    return A.sources(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.count("lang").alias("with_lang"), F.count("region").alias("with_region"))
-
-
 @query("""SELECT label, pos, round(avg(x), 5) AS mean FROM (SELECT label, unnest(range(1, 65)) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY label, pos""")
 def a18_centroids(spark, d):
     e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
@@ -148,20 +119,13 @@ def a24_risk_level(spark, d):
     return e.select("id", scores.risk_level(F.array_compact(F.array("rubric")), {"war": "critical", "politics": "high", "sport": "low", "culture": "low"}).alias("level"))
 
 
-@query(f"SELECT rubric, count(*) AS n, string_agg(id, ',' ORDER BY first_seen_at, id) AS ids FROM {EVENTS} WHERE first_seen_at >= {AS_OF} - INTERVAL 8 HOUR AND first_seen_at < {AS_OF} GROUP BY rubric")
-def a25_digest(spark, d):
-    e = A.news_events(spark, d, "rubric", "first_seen_at").where(F.expr(f"first_seen_at >= {AS_OF} - interval 8 hours and first_seen_at < {AS_OF}"))
-    ids = F.array_sort(F.collect_list(F.struct("first_seen_at", "id")))
-    return e.groupBy("rubric").agg(F.count("*").alias("n"), F.array_join(F.transform(ids, lambda x: x["id"].cast("string")), ",").alias("ids"))
-
-
 # ---- joins -------------------------------------------------------------------------------
 
 
 @query(f"SELECT s.tier, s.kind, count(*) AS items, count(DISTINCT i.source_id) AS sources FROM {ITEMS} i JOIN sources s ON s.id = i.source_id GROUP BY s.tier, s.kind")
 def j01_items_by_source(spark, d):
     s = A.sources(spark, d).select(F.col("id").alias("source_id"), "tier", "kind")
-    return A.items(spark, d, "source_id").join(F.broadcast(s), "source_id").groupBy("tier", "kind").agg(F.count("*").alias("items"), F.countDistinct("source_id").alias("sources"))
+    return A.items(spark, d, "source_id").join(s, "source_id").groupBy("tier", "kind").agg(F.count("*").alias("items"), F.countDistinct("source_id").alias("sources"))
 
 
 @query(f"SELECT s.name, i.lang, count(*) AS polls, sum(m.views) AS views FROM (SELECT DISTINCT id, item_id, views FROM item_metrics) m JOIN {ITEMS} i ON i.id = m.item_id JOIN sources s ON s.id = i.source_id GROUP BY s.name, i.lang")
@@ -171,7 +135,7 @@ def j02_metric_chain(spark, d):
     per = m.groupBy("item_id").agg(F.count("*").alias("polls"), F.sum("views").alias("views"))
     i = A.items(spark, d, "source_id", "lang").withColumnRenamed("id", "item_id")
     s = A.sources(spark, d).select(F.col("id").alias("source_id"), "name")
-    return per.join(i, "item_id").join(F.broadcast(s), "source_id").groupBy("name", "lang").agg(F.sum("polls").alias("polls"), F.sum("views").alias("views"))
+    return per.join(i, "item_id").join(s, "source_id").groupBy("name", "lang").agg(F.sum("polls").alias("polls"), F.sum("views").alias("views"))
 
 
 @query(f"SELECT id FROM {EVENTS} WHERE id NOT IN (SELECT event_id FROM merge_verdicts)")
@@ -200,12 +164,20 @@ def j05_nearest_centroid(spark, d):
     )
 
 
-@query(f"""SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, bit_count(xor(a.simhash, b.simhash)) AS distance FROM {ITEMS} a JOIN {ITEMS} b ON a.id < b.id AND bit_count(xor(a.simhash, b.simhash)) <= 3 WHERE a.simhash IS NOT NULL AND b.simhash IS NOT NULL AND a.source_id = b.source_id AND a.simhash <> 0 AND b.simhash <> 0""")
+@query(f"""SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, bit_count(xor(a.simhash, b.simhash)) AS distance FROM {ITEMS} a JOIN {ITEMS} b ON a.id < b.id AND a.source_id = b.source_id AND bit_count(xor(a.simhash, b.simhash)) <= 6""")
 def j07_hamming_pairs(spark, d):
-    i = A.items(spark, d, "source_id", "simhash").where("simhash <> 0")
-    near = R.hamming_pairs(i, "id", "simhash", 3)
-    sa, sb = i.select(F.col("id").alias("a"), F.col("source_id").alias("sa")), i.select(F.col("id").alias("b"), F.col("source_id").alias("sb"))
-    return near.join(sa, "a").join(sb, "b").where("sa = sb").select("a", "b", "distance")
+    """J7 within each source: the source is part of the lookup keys."""
+    return R.hamming_pairs(A.items(spark, d, "source_id", "simhash"), "id", "simhash", 6, "source_id")
+
+
+@query(f"SELECT id, earlier FROM (SELECT id, fetched_at, lag(id) OVER w AS earlier, lag(fetched_at) OVER w AS then_at FROM {ITEMS} WHERE content_hash IS NOT NULL AND ({NORM['title']} <> '' OR {NORM['text']} <> '') AND deleted_at IS NULL WINDOW w AS (PARTITION BY content_hash ORDER BY id)) WHERE then_at >= fetched_at - INTERVAL 72 HOUR")
+def j09_earlier_same_hash(spark, d):
+    """The last earlier post of the same text, if it was fetched no more than 72 hours before; blank and deleted posts take no part."""
+    told = (text.normalize_text("title") != "") | (text.normalize_text("text") != "")
+    i = table(spark, d, "news_items").where(F.expr("content_hash is not null and deleted_at is null") & told).select("id", "content_hash", "fetched_at").dropDuplicates(["id"])
+    w = Window.partitionBy("content_hash").orderBy("id")
+    met = i.select("id", "fetched_at", F.lag("id").over(w).alias("earlier"), F.lag("fetched_at").over(w).alias("then_at"))
+    return met.where(F.expr("then_at >= fetched_at - interval 72 hours")).select("id", "earlier")
 
 
 def j07_hamming_all(spark, d):
@@ -216,32 +188,11 @@ def j07_hamming_all(spark, d):
 BOTH["j07_hamming_all"] = (j07_hamming_all, None)
 
 
-@query(f"""SELECT b.id, max(a.id) AS earlier FROM {ITEMS} b JOIN {ITEMS} a ON a.content_hash = b.content_hash AND a.id < b.id AND a.fetched_at >= b.fetched_at - INTERVAL 72 HOUR GROUP BY b.id""")
-def j09_earlier_same_hash(spark, d):
-    i = A.items(spark, d, "content_hash", "fetched_at")
-    a = i.select(F.col("id").alias("ida"), "content_hash", F.col("fetched_at").alias("fa"))
-    return i.join(a, "content_hash").where(F.expr("ida < id and fa >= fetched_at - interval 72 hours")).groupBy("id").agg(F.max("ida").alias("earlier"))
-
-
 @query(f"""SELECT a.id AS item_id, b.id AS source_item FROM (SELECT id, lower(trim(forwarded_from)) AS k FROM {ITEMS} WHERE trim(coalesce(forwarded_from, '')) <> '') a JOIN (SELECT id, lower(trim(name)) AS k FROM sources) b ON b.k = a.k""")
 def j11_forwarded_from_source(spark, d):
     i = A.items(spark, d, "forwarded_from").select(F.col("id").alias("item_id"), text.key_of("forwarded_from").alias("k")).where("k is not null")
     s = A.sources(spark, d).select(F.col("id").alias("source_item"), F.lower(F.trim("name")).alias("k"))
-    return i.join(F.broadcast(s), "k").select("item_id", "source_item")
-
-
-@query(f"SELECT DISTINCT m.item_id, i.deleted_at FROM item_metrics m JOIN {ITEMS} i ON i.id = m.item_id WHERE i.deleted_at IS NOT NULL")
-def j12_deleted_but_measured(spark, d):
-    i = A.items(spark, d, "deleted_at").where("deleted_at is not null").withColumnRenamed("id", "item_id")
-    return i.join(table(spark, d, "item_metrics").select("item_id"), "item_id", "left_semi").select("item_id", "deleted_at")
-
-
-@query(f"""SELECT id, story_id, first_seen_at, last_id FROM (SELECT id, story_id, first_seen_at, lag(id) OVER (PARTITION BY story_id ORDER BY first_seen_at, id) AS last_id, count(*) OVER (PARTITION BY story_id, first_seen_at) AS n FROM {EVENTS} WHERE story_id IS NOT NULL AND first_seen_at IS NOT NULL) WHERE n = 1""")
-def j13_reply_target(spark, d):
-    e = A.news_events(spark, d, "story_id", "first_seen_at").where("story_id is not null and first_seen_at is not null")
-    w = Window.partitionBy("story_id").orderBy("first_seen_at", "id")
-    n = F.count("*").over(Window.partitionBy("story_id", "first_seen_at"))
-    return e.select("id", "story_id", "first_seen_at", F.lag("id").over(w).alias("last_id"), n.alias("n")).where("n = 1").drop("n")
+    return i.join(s, "k").select("item_id", "source_item")
 
 
 @query(f"""SELECT a.id, count(b.id) AS recent FROM {EVENTS} a LEFT JOIN {EVENTS} b ON b.story_id = a.story_id AND b.first_seen_at < a.first_seen_at AND b.first_seen_at >= a.first_seen_at - INTERVAL 48 HOUR WHERE a.story_id IS NOT NULL AND a.first_seen_at IS NOT NULL GROUP BY a.id""")
@@ -346,11 +297,6 @@ def t01_versions(spark, d):
     return R.versions(arrivals, ["source_id", "external_id"], ["id"], "content_hash").select("source_id", "external_id", "id", "version")
 
 
-@query(f"SELECT source_id, min(deleted_at) AS deleted_at FROM {ITEMS} GROUP BY source_id HAVING min(deleted_at) IS NOT NULL")
-def t02_soft_delete(spark, d):
-    return A.items(spark, d, "source_id", "deleted_at").groupBy("source_id").agg(F.min("deleted_at").alias("deleted_at")).where("deleted_at is not null")
-
-
 @query(f"SELECT id FROM (SELECT DISTINCT id, state, last_event_at FROM stories) WHERE state IN ('new', 'developing', 'stable') AND last_event_at < {AS_OF} - INTERVAL 5 DAY")
 def t06_dormant_stories(spark, d):
     s = table(spark, d, "stories").select("id", "state", "last_event_at").distinct()
@@ -364,18 +310,6 @@ def t12_merge_chains(spark, d):
     return R.resolve_chains(v, "event_id", "canonical_id")
 
 
-@query(f"SELECT id, status FROM (SELECT DISTINCT id, status, created_at, mode FROM (SELECT id, mode AS status, created_at, mode FROM merge_verdicts)) WHERE NOT (mode IN ('none', 'unavailable') AND created_at < {AS_OF} - INTERVAL 90 DAY)")
-def t28_retention(spark, d):
-    v = table(spark, d, "merge_verdicts").select("id", F.col("mode").alias("status"), "created_at").distinct()
-    old = F.col("status").isin("none", "unavailable") & F.expr(f"created_at < {AS_OF} - interval 90 days")
-    return v.where(~F.coalesce(old, F.lit(False))).select("id", "status")
-
-
-@query('SELECT source_id, event_id, kind, min(at_) AS first_at FROM ' + JOURNAL + " WHERE kind <> 'other' GROUP BY source_id, event_id, kind")
-def t26_reputation_events(spark, d):
-    return A.journal(spark, d).where("kind <> 'other'").groupBy("source_id", "event_id", "kind").agg(F.min("at").alias("first_at"))
-
-
 @query(f"SELECT tier, count(*) AS n, count(*) FILTER (active) AS active, count(*) FILTER (created_at >= {AS_OF} - INTERVAL 30 DAY) AS recent FROM sources GROUP BY tier")
 def r05_subscriptions(spark, d):
     return A.sources(spark, d).groupBy("tier").agg(F.count("*").alias("n"), F.count_if("active").alias("active"), F.count_if(F.expr(f"created_at >= {AS_OF} - interval 30 days")).alias("recent"))

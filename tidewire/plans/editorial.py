@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import parsers, scores, text
-from tidewire.operators import hierarchy, relational as R
+from tidewire.operators import clusters, hierarchy, relational as R
 from tidewire.plans import adapters as A
 from tidewire.plans import linked as L
 from tidewire.plans.linked import AUDIENCE, LINKS, MEDIA, NOW, PUBS
@@ -466,6 +466,47 @@ def a25_digests(spark, d):
     return met.groupBy("day", "name").agg(F.count("*").alias("n"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("body"))
 
 
+@query(f"SELECT l.event_id, bool_or(s.is_official) AS has_official, bool_or(s.tier IN ('official', 'media')) AS high_rep FROM {LINKS} l JOIN sources s ON s.id = l.source_id GROUP BY l.event_id")
+def a06_source_flags(spark, d):
+    """Whether an event's posts come from an official source, or from one of good standing."""
+    s = A.sources(spark, d).select(F.col("id").alias("source_id"), "is_official", "tier")
+    g = L.links(spark, d).select("event_id", "source_id").distinct().join(s, "source_id").groupBy("event_id")
+    return g.agg(F.bool_or("is_official").alias("has_official"), F.bool_or(F.col("tier").isin("official", "media")).alias("high_rep"))
+
+
+# ---- folds (A5, A12, A13, T4): no SQL, rows depend on the order of arrival -----------------------
+
+
+def a05_independent_sources(spark, d):
+    """A5: sources of each event that no copy links."""
+    i = A.items(spark, d, "content_hash", "simhash", "forwarded_from").withColumnRenamed("id", "item_id")
+    s = A.sources(spark, d).select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
+    return clusters.independent_sources(L.links(spark, d).join(i, "item_id").join(s, "source_id"))
+
+
+def t04_event_clusters(spark, d):
+    """T4, T5: events of a rubric that join the nearest open cluster, by the centroid of their story."""
+    st = table(spark, d, "stories").where("size(centroid) = 64").select(F.col("id").alias("story_id"), F.col("centroid").alias("vector")).dropDuplicates(["story_id"])
+    e = A.news_events(spark, d, "story_id", "rubric", "first_seen_at").where("rubric is not null").withColumnRenamed("first_seen_at", "at")
+    return clusters.greedy_clusters(e.join(st, "story_id"), "rubric")
+
+
+def a12_merged_facts(spark, d):
+    """The titles of a story's events as facts; the story's centroid, forwards or backwards, stands for their vectors."""
+    st = table(spark, d, "stories").where("size(centroid) = 64").select(F.col("id").alias("story_id"), "centroid").dropDuplicates(["story_id"])
+    e = A.news_events(spark, d, "story_id", "title", "significance", "first_source_id").where("title is not null")
+    turned = F.when(F.col("id") % 2 == 0, F.col("centroid")).otherwise(F.reverse("centroid"))
+    return clusters.merged_facts(e.join(st, "story_id").select(F.col("story_id").alias("event_id"), "id", F.col("title").alias("text"), F.col("significance").alias("value"), F.col("first_source_id").alias("source_id"), turned.alias("vector")))
+
+
+def a13_repeat_share(spark, d):
+    """Posts of a source that repeat an earlier kept one."""
+    return clusters.repeat_share(A.items(spark, d, "source_id", "simhash"), "source_id")
+
+
+BOTH |= {f.__name__: (f, None) for f in (a05_independent_sources, t04_event_clusters, a12_merged_facts, a13_repeat_share)}
+
+
 # ---- reports and small selections ----------------------------------------------------------------
 
 _HEALTH = f"SELECT source_id, max(fetched_at) FILTER (status <> 'error') AS last_success, count(*) FILTER (status = 'error' AND fetched_at > coalesce(ok, TIMESTAMPTZ '1970-01-01 00:00:00+00')) AS failures FROM (SELECT source_id, fetched_at, status, max(CASE WHEN status <> 'error' THEN fetched_at END) OVER (PARTITION BY source_id) AS ok FROM {ITEMS}) GROUP BY source_id"

@@ -56,42 +56,45 @@ def x01_normalize_text(spark, d):
 
 @query(f"SELECT id, sha256({NORM['title']} || chr(10) || {NORM['text']}) AS hash FROM {ITEMS}")
 def x02_content_hash(spark, d):
-    return A.items(spark, d, "title", "text").select("id", text.content_hash("title", "text").alias("hash"))
+    return A.derived(spark, d, text.content_hash("title", "text").alias("hash"))
 
 
-@query(f"""SELECT id, md5(coalesce(array_to_string(list_transform(range(60), lambda i: CASE WHEN coalesce(list_sum(list_transform(h, lambda v: CASE WHEN (v >> CAST(i AS INT)) & 1 = 1 THEN 1 ELSE -1 END)), 0) > 0 THEN '1' ELSE '0' END), ''), '')) AS bits
-FROM (SELECT id, list_transform(regexp_extract_all(lower(coalesce(title, '')), '{text.TOKEN.replace("'", "''")}'), lambda w: CAST('0x' || md5(w)[1:15] AS BIGINT)) AS h FROM {ITEMS})""")
-def x03_simhash_md5(spark, d):
-    i = A.items(spark, d, "title").select("id", text.md5_simhash(text.tokens("title")).alias("h"))
-    bits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda b: F.getbit(F.col("h"), b).cast("string")), "")
-    return i.select("id", F.md5(bits).alias("bits"))
+@query(f"SELECT id, simhash FROM {ITEMS} WHERE simhash IS NOT NULL")
+def x03_simhash(spark, d):
+    """The signature of title and text, for all posts whose collector stored one: it must be the stored one."""
+    i = A.derived(spark, d, text.simhash("title", "text").alias("simhash"), F.col("simhash").alias("stored"))
+    return i.where("stored is not null").select("id", "simhash")
 
 
-def x03_simhash(spark, d):
-    i = A.items(spark, d, "title", "text", "simhash")
-    return i.select("id", text.simhash("title", "text").alias("simhash"), F.col("simhash").alias("stored"))
+@query(f"SELECT i.id, bit_count(xor(i.simhash, f.h)) AS distance FROM {ITEMS} i JOIN (SELECT source_id, arg_min(simhash, id) AS h FROM {ITEMS} WHERE simhash IS NOT NULL GROUP BY source_id) f ON f.source_id = i.source_id WHERE i.simhash IS NOT NULL")
+def x04_hamming(spark, d):
+    """Each post against its source's first one."""
+    i = A.items(spark, d, "source_id", "simhash").where("simhash is not null")
+    first = i.groupBy("source_id").agg(F.min_by("simhash", "id").alias("first"))
+    return i.join(first, "source_id").select("id", text.hamming("simhash", "first").alias("distance"))
 
 
-BOTH["x03_simhash"] = (x03_simhash, None)
+@query("SELECT a.vec_id, round(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.v AS DOUBLE[])), 0), 4) AS cosine FROM embeddings a JOIN (SELECT label, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label) b ON b.label = a.label")
+def x06_cosine(spark, d):
+    """Each vector against the first of its label."""
+    v = table(spark, d, "embeddings")
+    first = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("first"))
+    return v.join(first, "label").select("vec_id", F.round(scores.cosine("embedding", "first"), 4).alias("cosine"))
 
 
-@query(f"""SELECT a.id, bit_count(xor(a.simhash, b.simhash)) AS distance FROM {ITEMS} a JOIN {ITEMS} b ON b.id = a.id + 1 WHERE a.simhash IS NOT NULL AND b.simhash IS NOT NULL""")
-def x04_hamming(spark, d):
-    i = A.items(spark, d, "simhash").where("simhash is not null")
-    j = i.select((F.col("id") - 1).alias("id"), F.col("simhash").alias("other"))
-    return i.join(j, "id").select("id", text.hamming("simhash", "other").alias("distance"))
+@query("SELECT id, CASE WHEN regexp_full_match(left(content_hash, 16), '[0-9a-fA-F]{1,16}') THEN ltrim(upper(left(content_hash, 16)), '0') END AS number FROM (SELECT DISTINCT id, content_hash FROM news_items)")
+def x16_phash_number(spark, d):
+    """All sixteen digits, shown in hexadecimal again."""
+    return A.derived(spark, d, F.ltrim(F.hex(text.phash_number(F.left("content_hash", F.lit(16)))), F.lit("0")).alias("number"))
 
 
 @query(f"""SELECT t AS token, count(*) AS n, count(DISTINCT id) AS items FROM (SELECT id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{text.TOKEN.replace("'", "''")}')) AS t FROM {ITEMS}) GROUP BY t""")
 def x05_tokens(spark, d):
-    return A.items(spark, d, "text").select("id", F.explode(text.tokens("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("id").alias("items"))
-
-
-@query("""WITH v AS (SELECT vec_id, embedding FROM embeddings) SELECT a.vec_id, round(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0), 4) AS cosine FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""")
-def x06_cosine(spark, d):
-    v = table(spark, d, "embeddings")
-    w = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    return v.join(w, "vec_id").select("vec_id", F.round(scores.cosine("embedding", "other"), 4).alias("cosine"))
+    # all tokens and each post's different ones, side by side: two sums, and no post's id is shuffled with its tokens
+    i = A.items(spark, d, "text").select(text.tokens("text").alias("t"))
+    all_ = i.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.lit(0).cast("bigint").alias("items"))
+    each = i.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.lit(0).cast("bigint").alias("n"), F.count("*").alias("items"))
+    return all_.unionByName(each).groupBy("token").agg(F.sum("n").alias("n"), F.sum("items").alias("items"))
 
 
 @query(f"SELECT id, coalesce(nullif(left(regexp_replace(coalesce(text, ''), '^{WS}|{WS}$', '', 'g'), 8000), ''), ' ') AS clipped FROM {ITEMS}")
@@ -120,11 +123,6 @@ def x17_media_key(spark, d):
     return A.items(spark, d, "source_id", "url").select("id", text.media_key("id", "source_id", "url").alias("key"))
 
 
-@query("""SELECT id, CASE WHEN regexp_full_match(left(content_hash, 16), '[0-9a-fA-F]{1,16}') THEN ('0x' || left(content_hash, 8))::BIGINT END AS number FROM (SELECT DISTINCT id, content_hash FROM news_items)""")
-def x16_phash_number(spark, d):
-    return A.items(spark, d, "content_hash").select("id", text.phash_number(F.left("content_hash", F.lit(8))).alias("number"))
-
-
 @query(f"""SELECT id, replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS title FROM {ITEMS} WHERE title IS NOT NULL""")
 def x22_escape_html(spark, d):
     return A.items(spark, d, "title").where("title is not null").select("id", text.escape_html("title").alias("title"))
@@ -150,18 +148,12 @@ def x30_split_text(spark, d):
 BOTH["x30_split_text"] = (x30_split_text, None)
 
 
-@query(f"""SELECT id, nullif(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '^{WS}|{WS}$', '', 'g'), '') AS bare FROM {ITEMS} WHERE text NOT LIKE '%&%' OR text IS NULL""")
 def s05_strip_html(spark, d):
-    i = A.items(spark, d, "text").where("text not like '%&%' or text is null")
-    return i.select("id", text.strip_html("text", entities=False).alias("bare"))
-
-
-def s05_strip_html_all(spark, d):
     """All posts, entities resolved. SQL has no such step."""
     return A.items(spark, d, "text").select("id", text.strip_html("text").alias("bare"))
 
 
-BOTH["s05_strip_html_all"] = (s05_strip_html_all, None)
+BOTH["s05_strip_html"] = (s05_strip_html, None)
 
 
 @query(f"SELECT id, coalesce(nullif(external_id, ''), nullif(url, ''), CAST(id AS VARCHAR)) AS key FROM {ITEMS}")
@@ -176,10 +168,10 @@ def s06_recent(spark, d):
 
 @query(f"SELECT i.id FROM {ITEMS} i JOIN sources s ON s.id = i.source_id WHERE s.origin <> 'world' OR regexp_matches(coalesce(i.title, '') || chr(10) || coalesce(i.text, ''), '(?i)ukrain|україн|kyiv|київ')")
 def s07_world_relevance(spark, d):
-    i = A.items(spark, d, "source_id", "title", "text")
     s = A.sources(spark, d).select(F.col("id").alias("source_id"), "origin")
     blob = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
-    return i.join(F.broadcast(s), "source_id").where((F.col("origin") != "world") | text.any_match(blob, ["ukrain|україн|kyiv|київ"], ignorecase=True)).select("id")
+    i = A.derived(spark, d, F.col("source_id"), text.any_match(blob, ["ukrain|україн|kyiv|київ"], ignorecase=True).alias("ours"))
+    return i.join(s, "source_id").where((F.col("origin") != "world") | F.col("ours")).select("id")
 
 
 @query(f"SELECT source_id, coalesce(max(TRY_CAST(external_id AS BIGINT)), 0) AS cursor FROM {ITEMS} GROUP BY source_id")
@@ -194,16 +186,8 @@ def s13_sync_sources(spark, d):
     return R.upsert(A.sources(spark, d).select("id", "name", "consecutive_failures"), new, ["id"], ["name"])
 
 
-@query("""SELECT handle FROM (SELECT DISTINCT lower(ltrim(source, '@')) AS handle FROM documents WHERE trim(coalesce(source, '')) <> '') WHERE handle NOT IN (SELECT lower(ltrim(handle_or_url, '@')) FROM sources WHERE id % 2 = 0)""")
-def s14_new_subscriptions(spark, d):
-    handle = lambda c: F.lower(F.regexp_replace(c, "^@+", "")).alias("handle")
-    seen = table(spark, d, "documents").where(F.trim(F.coalesce("source", F.lit(""))) != "").select(handle(F.col("source"))).distinct()
-    return R.without(seen, A.sources(spark, d).where("id % 2 = 0").select(handle(F.col("handle_or_url"))), ["handle"])
-
-
 @query("""SELECT handle FROM (SELECT DISTINCT lower(ltrim(source, '@')) AS handle FROM documents WHERE trim(coalesce(source, '')) <> '') d WHERE NOT EXISTS (SELECT 1 FROM sources s WHERE lower(ltrim(s.handle_or_url, '@')) = d.handle)""")
-def s14_new_subscriptions_all(spark, d):
-    """Against all sources."""
+def s14_new_subscriptions(spark, d):
     handle = lambda c: F.lower(F.regexp_replace(c, "^@+", "")).alias("handle")
     seen = table(spark, d, "documents").where(F.trim(F.coalesce("source", F.lit(""))) != "").select(handle(F.col("source"))).distinct()
     return R.without(seen, A.sources(spark, d).select(handle(F.col("handle_or_url"))), ["handle"])
@@ -238,12 +222,12 @@ def _noise_sql() -> str:
 @query(_noise_sql())
 def f01_noise_categories(spark, d):
     blob = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
-    return A.items(spark, d, "title", "text").select("id", F.array_join(text.matched_categories(blob, NOISE), ",").alias("categories"))
+    return A.derived(spark, d, F.array_join(text.matched_categories(blob, NOISE), ",").alias("categories"))
 
 
 @query(f"SELECT id FROM {ITEMS} WHERE regexp_matches(coalesce(text, ''), '{'|'.join(ALERT)}') AND NOT regexp_matches(coalesce(text, ''), '{'|'.join(NO_ALERT)}')")
 def f02_air_alert(spark, d):
-    return A.items(spark, d, "text").where(text.any_match("text", ALERT, exclude=NO_ALERT)).select("id")
+    return A.derived(spark, d, text.any_match("text", ALERT, exclude=NO_ALERT).alias("alert")).where("alert").select("id")
 
 
 @query("""SELECT id, CASE WHEN regexp_matches(t, 'спростува') THEN 'block' WHEN regexp_matches(t, 'штаб') AND coalesce(side, 'unknown') IN ('ua', 'unknown') THEN 'needs_official' WHEN regexp_matches(t, 'ціна') THEN 'review' END AS action
@@ -276,12 +260,6 @@ def f11_dedup_settled(spark, d):
     return A.news_events(spark, d, "first_seen_at").join(done, "id", "left").where(F.expr(f"done or first_seen_at < {AS_OF} - interval 60 days")).select("id")
 
 
-@query(f"SELECT id FROM {EVENTS} WHERE duplicate_of IS NULL AND curated IS DISTINCT FROM 'digest' AND (update_type IS NULL OR update_type IN ('refutation', 'consequence', 'new'))")
-def f12_draftable(spark, d):
-    e = A.news_events(spark, d, "duplicate_of", "curated", "update_type")
-    return e.where(F.col("duplicate_of").isNull() & ~F.col("curated").eqNullSafe("digest") & (F.col("update_type").isNull() | F.col("update_type").isin("refutation", "consequence", "new"))).select("id")
-
-
 @query(f"SELECT id FROM sources WHERE active AND (last_success_at IS NULL OR epoch({AS_OF}) - epoch(last_success_at) >= coalesce(nullif(poll_interval, 0), 300))")
 def f14_due_sources(spark, d):
     interval = F.coalesce(F.nullif(F.col("poll_interval"), F.lit(0)), F.lit(300))
@@ -289,21 +267,9 @@ def f14_due_sources(spark, d):
     return A.sources(spark, d).where(F.col("active") & (F.col("last_success_at").isNull() | (age >= interval))).select("id")
 
 
-@query(f"""SELECT i.id FROM {ITEMS} i JOIN sources s ON s.id = i.source_id WHERE s.kind = 'telegram' AND i.published_at >= {AS_OF} - INTERVAL 72 HOUR ORDER BY i.id DESC LIMIT 50""")
-def f15_items_to_measure(spark, d):
-    s = A.sources(spark, d).where("kind = 'telegram'").select(F.col("id").alias("source_id"))
-    return A.items(spark, d, "source_id", "published_at").where(F.expr(f"published_at >= {AS_OF} - interval 72 hours")).join(F.broadcast(s), "source_id", "left_semi").orderBy(F.desc("id")).limit(50).select("id")
-
-
 @query(f"SELECT id FROM {ITEMS} WHERE {NORM['title']} <> '' OR {NORM['text']} <> ''")
 def f16_text_eligible(spark, d):
-    return A.items(spark, d, "title", "text").where((text.normalize_text("title") != "") | (text.normalize_text("text") != "")).select("id")
-
-
-@query(f"SELECT id, length(trim(title)) >= 12 AND lower(title) <> lower(text) AS publishable FROM {ITEMS} WHERE title IS NOT NULL AND text IS NOT NULL")
-def f19_publishable(spark, d):
-    i = A.items(spark, d, "title", "text").where("title is not null and text is not null")
-    return i.select("id", ((F.length(F.trim("title")) >= 12) & (F.lower("title") != F.lower("text"))).alias("publishable"))
+    return A.derived(spark, d, ((text.normalize_text("title") != "") | (text.normalize_text("text") != "")).alias("told")).where("told").select("id")
 
 
 @query(f"""SELECT id, array_to_string(list_filter([CASE WHEN duplicate_of IS NOT NULL THEN 'duplicate' END, CASE WHEN significance < 0.3 THEN 'insignificant' END, CASE WHEN is_rumor THEN 'rumor' END], lambda x: x IS NOT NULL), ',') AS reasons FROM {EVENTS}""")

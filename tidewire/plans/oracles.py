@@ -1,6 +1,6 @@
 """SQL for the core's queries."""
 
-from tidewire.plans import analytics, cases, editorial
+from tidewire.plans import analytics, cases, desk, editorial
 
 _ROLLING = """
 WITH once AS (SELECT item_id, measured_at, min(struct_pack(id := id, v := greatest(coalesce(views, 0), 0), f := greatest(coalesce(forwards, 0), 0))) AS p
@@ -27,7 +27,7 @@ rings AS (SELECT id FROM walk WHERE id = stop),
 looped AS (SELECT w.id, min(w.stop) AS root_id FROM walk w JOIN rings r ON r.id = w.stop GROUP BY w.id)
 """
 
-ORACLES = analytics.ORACLES | {name: sql for name, (_, sql) in (cases.BOTH | editorial.BOTH).items() if sql} | {
+ORACLES = analytics.ORACLES | {name: sql for name, (_, sql) in (editorial.BOTH | desk.BOTH | cases.BOTH).items() if sql} | {
     "p2_found": _TREE + "SELECT id AS node_id, root_id, node_depth FROM down UNION ALL SELECT id, root_id, -1 FROM looped",
     "p2_paths": _TREE
     + """SELECT d.id AS node_id, d.root_id, d.node_depth, coalesce(n.n, 0) AS descendants, d.path FROM down d

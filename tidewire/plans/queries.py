@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.operators import hierarchy, rolling
-from tidewire.plans import analytics, cases, editorial
+from tidewire.plans import analytics, cases, desk, editorial
 from tidewire.session import table
 
 
@@ -47,4 +47,4 @@ def p7_rolling(spark, d):
     return t.select("item_id", F.date_format("day", "yyyy-MM-dd").alias("day"), *[c for c in t.columns if c.endswith(("_7d", "_30d")) and "_avg_" not in c], *avg)
 
 
-QUERIES = analytics.QUERIES | {name: f for name, (f, _) in (cases.BOTH | editorial.BOTH).items()} | {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_all_paths, p2_all_descendants, p2_cycles, p7_found, p7_rolling)}
+QUERIES = analytics.QUERIES | {name: f for name, (f, _) in (editorial.BOTH | desk.BOTH | cases.BOTH).items()} | {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_all_paths, p2_all_descendants, p2_cycles, p7_found, p7_rolling)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import json
 import os
 import tempfile
 import uuid
@@ -118,6 +119,29 @@ class Scratch:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def put_json(spark: SparkSession, path: str, value: dict) -> None:
+    """A small file of settings, written at once, without a job."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(conf).create(at, True)
+    out.write(bytearray(json.dumps(value).encode()))
+    out.close()
+
+
+def get_json(spark: SparkSession, path: str) -> dict | None:
+    """What put_json wrote, or None."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at):
+        return None
+    held = fs.open(at)
+    try:
+        return json.loads(bytes(held.readAllBytes()).decode())
+    finally:
+        held.close()
+
+
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if its counted rows stay within limit; else Spark shuffles it."""
     return F.broadcast(df) if rows <= limit else df

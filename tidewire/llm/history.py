@@ -7,7 +7,7 @@ verification by shared shingles, update of both. The store is a folder that can
 - filters/batch=B: Bloom filter segments, one or more a part and batch;
 - records/batch=B: (id, class, n, sketches, shingles);
 - common: which shingles are set phrases, as counted over the first history and kept since;
-- meta/batch=B: written last, so that a batch that broke off counts as never accepted.
+- meta/B.json: parts and prints, written last, so that a batch that broke off counts as never accepted.
 
 The fingerprints of a record are the minima of its shingles under fixed orders, three or four
 packed into one key: the keys of the multi-index join (see neardup). Fingerprints winnowed by
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import neardup, shingles as S
-from tidewire.session import Scratch, small_side
+from tidewire.session import Scratch, get_json, put_json, small_side
 
 #: Keys that a part of the store is made for; 10 bits and 5 hashes a key, 1 % false positives.
 PER_PART, BITS, ROUNDS = 1_000_000, 10, 5
@@ -44,7 +44,6 @@ THRESHOLD = neardup.THRESHOLD
 PRINTS = "key bigint, class bigint, batch int, part int"
 FILTERS = "part int, bits bigint, field binary, batch int"
 RECORDS = neardup.RECORDS + ", batch int"
-META = "parts int, prints bigint, batch int"
 
 
 def _positions(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -90,7 +89,7 @@ class FingerprintStore:
     """The accepted history in a folder that all executors share. A batch is staged, matched and accepted, in this order."""
 
     def __init__(self, spark: SparkSession, path: str, common: np.ndarray, parts: int, batches: int, threshold: float = THRESHOLD) -> None:
-        self.spark, self.path, self.threshold, self.parts, self.batches = spark, path.rstrip("/"), threshold, parts, batches
+        self.spark, self.path, self.threshold, self.parts, self.batches, self.held = spark, path.rstrip("/"), threshold, parts, batches, 0
         self.common = spark.sparkContext.broadcast(common)
         self.scratch = Scratch(spark, "history")
 
@@ -110,9 +109,14 @@ class FingerprintStore:
     def open(cls, spark: SparkSession, path: str, threshold: float = THRESHOLD) -> FingerprintStore:
         """A store as its last accepted batch left it."""
         at = path.rstrip("/")
-        last = spark.read.schema(META).parquet(f"{at}/meta").orderBy(F.desc("batch")).first()
         common = np.sort(spark.read.schema("slot bigint").parquet(f"{at}/common").toArrow().column("slot").to_numpy())
-        return cls(spark, at, common, last["parts"], last["batch"] + 1, threshold)
+        store = cls(spark, at, common, 0, 0, threshold)
+        while meta := get_json(spark, store._meta(store.batches)):
+            store.parts, store.held, store.batches = meta["parts"], meta["held"], store.batches + 1
+        return store
+
+    def _meta(self, batch: int) -> str:
+        return f"{self.path}/meta/{batch}.json"
 
     def _read(self, what: str, schema: str) -> DataFrame:
         """A table of the store, accepted batches only."""
@@ -128,10 +132,8 @@ class FingerprintStore:
         once.withColumn("part", self._part()).sortWithinPartitions("part", "key").write.mode("append").partitionBy("part").parquet(at)
 
     def _write_filters(self, batch: int) -> None:
-        """Filters of a batch's prints, and its row of meta."""
         prints = self.spark.read.schema("key bigint, class bigint, part int").parquet(f"{self.path}/prints/batch={batch}")
         prints.select("part", "key").mapInArrow(_build_filters, "part int, bits bigint, field binary").write.mode("overwrite").parquet(f"{self.path}/filters/batch={batch}")
-        self.spark.createDataFrame([(self.parts, prints.count())], "parts int, prints bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta/batch={batch}")
 
     def stage(self, items: DataFrame) -> DataFrame:
         """The fingerprinted records of the next batch, of (id, title, text) rows: the only pass over its texts."""
@@ -143,15 +145,17 @@ class FingerprintStore:
         """Adds staged records as the next batch."""
         at = f"{self.path}/prints/batch={self.batches}"
         self.scratch._delete(at)  # of an attempt that broke off
-        for chunks in (passes := neardup.families(records.count())):
+        n = records.count()
+        for chunks in (passes := neardup.families(n)):
             self._write_prints(neardup.class_keys(records, self.common, chunks), at)
             if len(passes) > 1:
                 self.scratch.release()
         self._write_filters(self.batches)
+        self.held += n * 5 * neardup.CHUNKS  # about five keys a chunk
+        put_json(self.spark, self._meta(self.batches), {"parts": self.parts, "held": self.held})
         self.batches += 1
-        held = self.spark.read.schema(META).parquet(f"{self.path}/meta").agg(F.sum("prints")).first()[0]
-        if held > GROWN * PER_PART * self.parts:
-            self.split(-(-held // PER_PART))
+        if self.held > GROWN * PER_PART * self.parts:
+            self.split(-(-self.held // PER_PART))
 
     def split(self, parts: int) -> None:
         """Writes prints and filters anew in so many parts: one pass over them each time the store has grown GROWN times."""
@@ -161,6 +165,7 @@ class FingerprintStore:
             self.scratch._delete(f"{self.path}/prints/batch={b}")
             self._write_prints(own, f"{self.path}/prints/batch={b}")
             self._write_filters(b)
+            put_json(self.spark, self._meta(b), {"parts": parts, "held": self.held})
             self.scratch.release()
 
     def candidates(self, records: DataFrame, name: str) -> DataFrame:
@@ -169,11 +174,11 @@ class FingerprintStore:
         filters = self._read("filters", FILTERS).select("part", "bits", "field")
         screened = keys.withColumn("part", self._part()).groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(_screen, "key bigint, class bigint, part int")
         positive = self.scratch.write(screened.select("key", F.col("class").alias("x"), "part"), f"{name}/positive")
-        known = positive.select("part").distinct().toArrow().column("part").to_pylist()  # at most `parts`
-        stored = self._read("prints", PRINTS)
-        if len(known) < self.parts:
+        n, stored = positive.count(), self._read("prints", PRINTS)
+        if n < 4 * self.parts:  # else nearly every part is met
+            known = positive.select("part").distinct().toArrow().column("part").to_pylist()
             stored = stored.where(F.col("part").isin(known))
-        met = stored.select("key", F.col("class").alias("y")).join(small_side(positive.select("key", "x"), positive.count()), "key")
+        met = stored.select("key", F.col("class").alias("y")).join(small_side(positive.select("key", "x"), n), "key")
         return self.scratch.write(met.select("x", "y").distinct(), f"{name}/met")
 
     def match(self, records: DataFrame, name: str = "look") -> DataFrame:

@@ -16,7 +16,7 @@ def test_equals_sql(name, spark, sf, duck):
     df = queries.QUERIES[name](spark, sf)
     sql = oracles.ORACLES.get(name)
     if sql is None:
-        assert df.count() >= 0
+        assert df.count() > 0  # its rows are tested by brute force elsewhere
     else:
         assert compare(df, duck, sql) == ""
 

@@ -222,15 +222,19 @@ def hierarchy(spark: SparkSession, nodes: DataFrame, co_locate: int = CO_LOCATE)
 def best_above(spark: SparkSession, nodes: DataFrame, value: str) -> DataFrame:
     """A10: (node_id, best): the greatest value of a node and all above it, by pointer doubling; a circle counts once round.
 
-    nodes: (id, parent_id, value), an id once. The rounds end when no link is open, or, with
-    circles, when the jumps are longer than the number of links still open.
+    nodes: (id, parent_id, value), an id once. A round in which no further node reaches its top
+    proves that the rest are on circles or below them; then jumps go on until they are as long as
+    the number of nodes left.
     """
     scratch = Scratch(spark, "best")
     own = nodes.where("id is not null").select(F.col("id").alias("node_id"), F.col("parent_id").alias("jump"), F.col(value).alias("best"))
-    state, k = scratch.write(own, "best0"), 0
-    while (open_ := state.where("jump is not null").count()) and (k == 0 or 2 ** (k - 1) <= open_):
+    state, k, before, circles = scratch.write(own, "best0"), 0, None, False
+    while now := state.where("jump is not null").count():
+        circles = circles or now == before
+        if circles and 2**k >= now:
+            break
         up = state.select(F.col("node_id").alias("jump"), F.col("jump").alias("jump2"), F.col("best").alias("best2"))
-        k += 1
+        k, before = k + 1, now
         state = scratch.write(_looked_up(state, up, F.col("node_id"), F.col("jump2").alias("jump"), F.greatest("best", "best2").alias("best")), f"best{k}")
         scratch.drop(f"best{k - 1}")
     return state.select("node_id", "best")

@@ -156,7 +156,7 @@ def hamming_pairs(df: DataFrame, key: str, value: str, most: int = 6, within: st
     up under its chunks and under every chunk with one bit changed, and no pair is lost. Rows of
     the same value are joined as values first; null keys and values take no part.
     """
-    chunks = most // 2 + 1
+    chunks = max(2, most // 2 + 1)
     ends = [round(64 * i / chunks) for i in range(chunks + 1)]
     group = F.lit(0) if within is None else F.col(within)
     known = df.where(F.col(key).isNotNull() & F.col(value).isNotNull() & group.isNotNull()).select(group.alias("g"), F.col(key).alias("k"), F.col(value).alias("v")).distinct()

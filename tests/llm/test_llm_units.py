@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.llm import components, history, lines, mixing, neardup, packing, stuffing, vectors
+from tidewire.session import Scratch
 
 
 def groups(pairs):
@@ -244,7 +245,7 @@ def test_history_finds_evenly_edited_records_and_opens_again(spark, tmp_path):
 def test_keys_of_many_classes_are_joined_in_blocks(spark):
     rows = [(7, c) for c in range(90)] + [(8, c) for c in range(3)] + [(9, 1), (7, 5)]
     keys = spark.createDataFrame(rows, "key bigint, class bigint")
-    got = [tuple(r) for r in neardup.met_pairs(keys, hot=10).collect()]
+    got = [tuple(r) for r in neardup.met_pairs(Scratch(spark, "keys"), keys, "shared", hot=10).collect()]
     assert sorted(got) == sorted([(x, y) for y in range(90) for x in range(y)] + [(0, 1), (0, 2), (1, 2)])
 
 

@@ -226,10 +226,10 @@ def class_keys(records: DataFrame, common, chunks: range = range(CHUNKS)) -> Dat
     return records.select("class", "grams").mapInArrow(_keys(common, chunks), "key bigint, class bigint")
 
 
-def met_pairs(keys: DataFrame, hot: int = HOT) -> DataFrame:
-    """(x, y), x < y: classes that share a key, once for each key they share."""
-    k = keys.repartition("key").dropDuplicates(["key", "class"])
-    k = k.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
+def met_pairs(scratch: Scratch, keys: DataFrame, name: str, hot: int = HOT) -> DataFrame:
+    """(x, y), x < y: classes that share a key, once for each key they share. What is shared is written once and then joined."""
+    once = keys.repartition("key").dropDuplicates(["key", "class"])
+    k = scratch.write(once.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"), name)
     few = k.where(F.col("m") <= hot)
     pairs = few.select("key", F.col("class").alias("x")).join(few.select("key", F.col("class").alias("y")), "key").where("x < y").select("x", "y")
     blocks = F.ceil(F.col("m") / F.lit(hot)).cast("int")
@@ -284,7 +284,8 @@ def similar_classes(spark: SparkSession, items: DataFrame, threshold: float = TH
     met = None
     passes = families(records.count())
     for i, chunks in enumerate(passes):
-        own = scratch.write(met_pairs(class_keys(records, common, chunks)).distinct(), f"met{i}")
+        own = scratch.write(met_pairs(scratch, class_keys(records, common, chunks), f"keys{i}").distinct(), f"met{i}")
+        scratch.drop(f"keys{i}")
         met = own if met is None else met.unionByName(own)
         if len(passes) > 1:
             scratch.release()

@@ -58,9 +58,9 @@ def _build_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def segment(part: int, keys: np.ndarray) -> pa.RecordBatch:
         bits = max(1024, len(keys) * BITS)
-        field = np.zeros(bits // 8 + 1, np.uint8)
-        at = np.unique(_positions(keys, bits))
-        np.bitwise_or.at(field, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        marks = np.zeros(bits, bool)
+        marks[_positions(keys, bits)] = True
+        field = np.packbits(marks, bitorder="little")
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits], pa.int64()), pa.array([field.tobytes()], pa.binary())], names=["part", "bits", "field"])
 
     for batch in batches:

@@ -99,6 +99,31 @@ def test_pauses_split_the_fold_without_changing_it(spark):
         assert got[i] == c["id"]
 
 
+def test_a_long_fold_ends_and_its_blocks_dont_show(spark):
+    import datetime as dt
+    import time
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(6000, 64))
+    v[1::3] = v[::3] + rng.normal(size=(2000, 64)) * 0.5
+    rows = [("k", i, dt.datetime(2025, 1, 1) + dt.timedelta(minutes=10 * i), x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "k string, id bigint, at timestamp, vector array<double>")
+    began = time.time()
+    got = {r["id"]: r["cluster_id"] for r in clusters.greedy_clusters(df, "k").collect()}
+    assert time.time() - began < 30  # with all closed clusters looked through for each row: too slow
+    alike = sum(got[i] == i - 1 for i in range(1, 6000, 3))
+    assert len(got) == 6000 and alike > 1900 and len(set(got.values())) == 6000 - alike
+    assert {r["id"]: r["cluster_id"] for r in clusters.greedy_clusters(df, "k", block=7).collect()} == got
+
+
+def test_a_vector_with_nulls_takes_no_others_from_their_clusters(spark):
+    import datetime as dt
+
+    rows = [(i, dt.datetime(2025, 1, 1, i), x) for i, x in enumerate([[1.0, None], [1.0, 0.0], [1.0, 0.1], [0.0, 0.0], [1.0], [2.0, 0.0], [3.0]])]
+    df = spark.createDataFrame(rows, "id bigint, at timestamp, vector array<double>").withColumn("k", F.lit("k"))
+    assert {r["id"]: r["cluster_id"] for r in clusters.greedy_clusters(df, "k").collect()} == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4, 5: 1, 6: 4}
+
+
 def test_pieces_of_whole_documents(spark, sf):
     import duckdb
 

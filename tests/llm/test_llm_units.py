@@ -277,6 +277,28 @@ def test_copies_of_vectors_are_one_and_large_buckets_are_split(spark):
     assert len(got) == len(set(got)) and len(set(got) & want) >= 0.95 * len(want) and {x for x in want if x[0] < 200} <= set(got)
 
 
+def test_nearest_vectors_are_all_found_however_they_are_grouped(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(2600, 64))
+    v[2000:] = v[:600] + rng.normal(size=(600, 64)) * rng.uniform(0.1, 0.6, size=(600, 1))
+    v = v.astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, centroid array<float>")
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    cos = unit @ unit.T
+    np.fill_diagonal(cos, -2)
+    top = np.argsort(-cos, axis=1)[:, :10]
+    want = {(i, int(j), n + 1) for i in range(len(v)) for n, j in enumerate(top[i])}
+    for hot in (300, 10_000):
+        rows = vectors.nearest(spark, df, "id", "centroid", hot=hot).collect()
+        assert {(r["q"], r["c"], r["rank"]) for r in rows} == want and len(rows) == len(want)
+        rows = vectors.nearest(spark, df, "id", "centroid", hot=hot, floor=0.9).collect()
+        assert {(r["q"], r["c"]) for r in rows} == {(i, j) for i, j, _ in want if cos[i, j] >= 0.9} and len(rows) > 500
+    asked = vectors.vectors(df.where("id % 7 = 0"), "id", "centroid")
+    for hot in (300, 10_000):
+        rows = vectors.nearest(spark, df, "id", "centroid", hot=hot, queries=asked).collect()
+        assert {(r["q"], r["c"], r["rank"]) for r in rows} == {w for w in want if w[0] % 7 == 0}
+
+
 def test_groups_with_joins_of_hot_keys(spark):
     pairs = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(200)] + [(5000, 5001)]
     got = {tuple(r) for r in components.connected_groups(spark, spark.createDataFrame(pairs, "a bigint, b bigint"), hub_degree=20, hot_rows=30).collect()}

@@ -1,106 +1,37 @@
 """Problem 6: the most similar vectors of every vector.
 
-Method: multiprobe p-stable hashing. Vectors are scaled to unit length, so that distance orders
-as cosine does. Each of TABLES tables hashes a vector by HASHES functions floor((a.x + b) / w)
-with Gaussian a. A query looks up its own bucket and those reached by perturbing single values by
-one, in the order of their estimated success: the sum of the squared distances to the crossed
-borders. Candidates of all tables are merged, thinned by the Hamming distance of sign codes, and
-ranked again by the exact cosine.
+Method: all pairs, in blocks. The vectors are dealt to groups by a hash of their id, and each pair of
+groups is a task. Products of matrices of 32 bits screen its pairs: what comes within SLACK of a
+place among the k, or of the floor, is computed again in 64 bits, and ranked by that. So the rows
+are those of a comparison of all with all, whatever the number of vectors; the number of groups
+grows with it, and shows in nothing but the tasks.
+
+The version before hashed (multiprobe, p-stable), with more functions and probes from 60,000 vectors
+on: its rows hung on the number of vectors, and some were missed at any number.
 
 Equal vectors are one: only their least id takes part, and the others come in at the end, so a
-group of copies, however large, costs one row. The functions a table grow with the logarithm of
-the number of vectors, and the probes with them, so that buckets keep their size; a bucket of
-more than HOT vectors is split into blocks, which are looked up by tasks of their own.
+group of copies, however large, costs one row.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.session import Scratch, joined, small_side
+from tidewire.session import Scratch, joined
 
 DIMENSIONS = 64
-TABLES, HASHES, WIDTH = 10, 10, 1.0
 K = 10
-#: Vectors for which TABLES and HASHES are chosen. Unrelated unit vectors share a cell of width 1 with probability 0.27, those of cosine 0.9 with
-#: 0.65: one more function for each fourfold number keeps the buckets' size, and PROBED times the probes keep the chance of similar ones.
-SIZED, PROBED = 30_000, 1.5
-#: Vectors of a bucket that one block holds, about.
-HOT = 2_000
-
-
-class Index:
-    """Projections, drawn from a fixed seed: nothing is fitted to the data."""
-
-    def __init__(self, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, dimensions: int = DIMENSIONS, seed: int = 6) -> None:
-        rng = np.random.default_rng(seed)
-        self.tables, self.hashes, self.width, self.dimensions = tables, hashes, width, dimensions
-        self.a = rng.normal(size=(dimensions, tables * hashes))
-        self.b = rng.uniform(0, width, tables * hashes)
-        self.mix = rng.integers(1, 1 << 63, (tables, hashes), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.planes = rng.normal(size=(dimensions, 128))
-
-    def codes(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        bits = np.packbits(unit @ self.planes > 0, axis=1).view(np.uint64)
-        return bits[:, 0].view(np.int64), bits[:, 1].view(np.int64)
-
-    def places(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cells, and the position within each cell from 0 to 1; both (rows, tables, hashes)."""
-        at = ((unit @ self.a + self.b) / self.width).reshape(len(unit), self.tables, self.hashes)
-        cell = np.floor(at)
-        return cell.astype(np.int64), at - cell
-
-    def buckets(self, cells: np.ndarray) -> np.ndarray:
-        """One number per table: a mix of its cells, with the table in the low bits."""
-        h = ((cells.view(np.uint64) + np.uint64(1 << 20)) * self.mix).sum(axis=2, dtype=np.uint64)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return ((h >> np.uint64(4) << np.uint64(4)) | np.arange(self.tables, dtype=np.uint64)).view(np.int64)
-
-    def probes(self, cells: np.ndarray, within: np.ndarray, count: int) -> np.ndarray:
-        """The `count` likeliest buckets of each table, the own one first: (rows, tables, count).
-
-        Perturbation sets are drawn over the ranks of the 2 * hashes border distances, by their
-        expected scores, once for all queries; each query then maps ranks to its own borders.
-        """
-        sets = _sets(self.hashes, count)
-        order = np.argsort(np.concatenate([within, 1 - within], axis=2) ** 2, axis=2, kind="stable")
-        out = np.empty((*cells.shape[:2], count), np.int64)
-        for k, ranks in enumerate(sets):
-            moved = cells.copy()
-            for r in ranks:
-                which = order[:, :, r]
-                step = np.where(which < self.hashes, -1, 1)
-                np.put_along_axis(moved, (which % self.hashes)[..., None], np.take_along_axis(moved, (which % self.hashes)[..., None], 2) + step[..., None], 2)
-            out[:, :, k] = self.buckets(moved)
-        return out
-
-
-def _sets(hashes: int, count: int) -> list[tuple[int, ...]]:
-    """Perturbation sets of ranks in the order of their expected scores, starting with the empty one.
-
-    The scores are the expected squares of the order statistics of 2 * hashes uniform border distances; sets that move one value both ways are skipped, since ranks r and 2M-1-r are
-    the two borders of one value on average.
-    """
-    m2 = 2 * hashes
-    score = [(j * (j + 1)) / (4 * (hashes + 1) * (hashes + 2)) if j <= hashes else 1 - (m2 + 1 - j) / (hashes + 1) + ((m2 + 1 - j) * (m2 + 2 - j)) / (4 * (hashes + 1) * (hashes + 2)) for j in range(1, m2 + 1)]
-    out: list[tuple[int, ...]] = [()]
-    heap = [(score[0], (0,))]
-    while heap and len(out) < count:
-        total, ranks = heapq.heappop(heap)
-        if not any(m2 - 1 - r in ranks for r in ranks):
-            out.append(ranks)
-        last = ranks[-1]
-        if last + 1 < m2:
-            heapq.heappush(heap, (total - score[last] + score[last + 1], (*ranks[:-1], last + 1)))
-            heapq.heappush(heap, (total + score[last + 1], (*ranks, last + 1)))
-    return out
+#: Vectors of a group, and the least number of groups, so that small tables use several tasks, too.
+GROUP, LEAST = 60_000, 4
+#: Rows and columns of one product.
+TILE_Q, TILE_C = 256, 2048
+#: By this much a cosine in 32 bits may be off: 64 products of unit vectors are within 1e-5.
+SLACK = 4e-5
 
 
 def vectors(rows: DataFrame, key: str, vector: str, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -110,45 +41,101 @@ def vectors(rows: DataFrame, key: str, vector: str, dimensions: int = DIMENSIONS
     return rows.where(F.col(key).isNotNull() & usable).groupBy(F.col(key).cast("bigint").alias("id")).agg(F.min(v).alias("v"))
 
 
-def _hashed(index: Index, probes: int, binary: bool):
-    """Rows (bucket, id, code_a, code_b): one per table, or one per probe."""
+def _best(r: np.ndarray, cosine: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Where the k greatest of each r are; among equals the smaller id."""
+    order = np.lexsort((ids, -cosine, r))
+    r = r[order]
+    new = np.ones(len(r), bool)
+    new[1:] = r[1:] != r[:-1]
+    begin = np.flatnonzero(new)
+    return order[np.arange(len(r)) - np.repeat(begin, np.diff(np.append(begin, len(r)))) < k]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                v = part.column(1).flatten().to_numpy().reshape(part.num_rows, index.dimensions)
-                unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-                cells, within = index.places(unit)
-                found = (index.probes(cells, within, probes) if probes > 1 else index.buckets(cells)).reshape(len(v), -1)
-                a, b = index.codes(unit)
-                each = found.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), each)), pa.array(np.repeat(a, each)), pa.array(np.repeat(b, each))],
-                    names=["bucket", "id", "code_a", "code_b"],
-                )
 
-    return run
+def _exact(x: np.ndarray, y: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Cosines of the rows `at` of x and `to` of y; a pair has the same one in any block and either way round."""
+    nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+    out = np.empty(len(at))
+    for k in range(0, len(at), 65_536):
+        i, j = at[k : k + 65_536], to[k : k + 65_536]
+        out[k : k + 65_536] = (x[i] * y[j]).sum(axis=1) / (nx[i] * ny[j])
+    return out
 
 
-def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        x, y = (batch.column(i).flatten().to_numpy().reshape(n, -1) for i in (2, 3))
-        cos = (x * y).sum(axis=1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cos)], names=["q", "c", "cosine"])
+def _pairs(x: np.ndarray, xid: np.ndarray, y: np.ndarray, yid: np.ndarray, k: int, floor: float | None, both: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(q, c, cosine): of each row of x the k most similar of y, of at least floor; both: the other way round, too."""
+    unit = lambda v: np.nan_to_num(v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    ux, uy = unit(x), unit(y)
+    found: list[tuple] = []
+    for i in range(0, len(x), TILE_Q):
+        own: list[tuple] = []
+        least = np.full(min(TILE_Q, len(x) - i), -np.inf if floor is None else floor - SLACK, np.float32)
+        for j in range(0, len(y), TILE_C):
+            cos = ux[i : i + TILE_Q] @ uy[j : j + TILE_C].T
+            if floor is None and cos.shape[1] > k:  # the k-th greatest of any columns is a bound for all
+                least = np.maximum(least, np.partition(cos, -k, axis=1)[:, -k] - SLACK) if not j else least
+            r, c = np.divmod(np.flatnonzero(cos >= least[:, None]), cos.shape[1])
+            if len(r) == 0:
+                continue
+            value = _exact(x[i : i + TILE_Q], y[j : j + TILE_C], r, c)
+            if floor is not None:
+                r, c, value = (z[value >= floor] for z in (r, c, value))
+            q, o = xid[i + r], yid[j + c]
+            at = _best(q, value, o, k)
+            own.append((q[at], o[at], value[at]))
+            if both:
+                at = _best(o, value, q, k)
+                found.append((o[at], q[at], value[at]))
+        if own:
+            q, o, value = (np.concatenate(z) for z in zip(*own))
+            at = _best(q, value, o, k)
+            found.append((q[at], o[at], value[at]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    q, o, value = (np.concatenate(z) for z in zip(*found))
+    at = _best(q, value, o, k)
+    return q[at], o[at], value[at]
+
+
+def _compared(asked: DataFrame, all_: DataFrame, n_asked: int, n: int, k: int, floor: float | None, group: int, same: bool, kind: str) -> DataFrame:
+    """(q, c, cosine): of each asked vector the k most similar in each group of all_. same: asked is all_, and no vector is its own."""
+    halves = same and floor is not None
+    rows = max(LEAST, math.ceil(n / group))
+    lines = rows if same else math.ceil(max(n_asked, 1) / group)
+    part = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    v = F.col("v").cast(f"array<{kind}>").alias("v")
+    if halves:  # a pair of groups once, the lesser first
+        other = F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))
+        sides = all_.select("id", v, part(rows).alias("own")).select("id", "v", "own", other.alias("other"))
+        sides = sides.select((F.least("own", "other") * rows + F.greatest("own", "other")).alias("pair"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "v")
+    else:
+        look = asked.select("id", v, part(lines).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("other")).select((F.col("own") * rows + F.col("other")).alias("pair"), F.lit(0).alias("side"), "id", "v")
+        held = all_.select("id", v, part(rows).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(lines - 1))).alias("other")).select((F.col("other") * rows + F.col("own")).alias("pair"), F.lit(1).alias("side"), "id", "v")
+        sides = look.unionByName(held)
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, side = t["id"].to_numpy(), t["side"].to_numpy()
+        pair = t["pair"][0].as_py()
+        v = t["v"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
+        first = side == 0
+        alone = halves and pair // rows == pair % rows
+        second = first if alone else ~first
+        # a vector may meet itself: one more place
+        q, c, cosine = _pairs(v[first], ids[first], v[second], ids[second], k + 1, floor, halves and not alone)
+        other = q != c if same else np.ones(len(q), bool)
+        return pa.table({"q": pa.array(q[other], pa.int64()), "c": pa.array(c[other], pa.int64()), "cosine": pa.array(cosine[other], pa.float64())})
+
+    return sides.groupBy("pair").applyInArrow(compare, "q bigint, c bigint, cosine double")
 
 
 def nearest(
-    spark: SparkSession, rows: DataFrame, key: str, vector: str, *, k: int = K, probes: int = 32, code_bits: int = 44, floor: float | None = None,
-    queries: DataFrame | None = None, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, dimensions: int = DIMENSIONS, hot: int = HOT,
+    spark: SparkSession, rows: DataFrame, key: str, vector: str, *, k: int = K, code_bits: int | None = None, floor: float | None = None,
+    queries: DataFrame | None = None, dimensions: int = DIMENSIONS, hot: int = GROUP,
 ) -> DataFrame:
-    """(q, c, cosine, rank): for each query the k most similar other vectors among those found.
+    """(q, c, cosine, rank): for each query the k most similar other vectors.
 
     queries: (id, v) as of vectors(); all vectors if left out. floor: only pairs of at least this
-    cosine. code_bits: candidates whose 128-bit sign codes differ in more bits are dropped before
+    cosine. hot: vectors of a group; code_bits has no effect any more, as nothing is dropped before
     the exact ranking. Ties go to the smaller id. Vectors that are null, of another length, all
     zero or hold nulls take no part; an empty table gives no rows.
     """
@@ -156,31 +143,13 @@ def nearest(
     rows_ = scratch.write(vectors(rows, key, vector, dimensions), "rows")
     same = rows_.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     all_ = scratch.write(same, "vectors")
-    count = all_.count()
-    more = max(0, round(math.log(max(count, 1) / SIZED, 4)))
-    index = Index(tables, hashes + more, width, dimensions)
-    probes = round(probes * PROBED**more)
     copies = all_.where("n > 1")
     copied = not copies.isEmpty()
-    asked = all_.select("id", "v") if queries is None else queries.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
-    schema = "bucket bigint, id bigint, code_a bigint, code_b bigint"
-    held = all_.select("id", "v").mapInArrow(_hashed(index, 1, False), schema).select("bucket", F.col("id").alias("c"), F.col("code_a").alias("ca"), F.col("code_b").alias("cb"))
-    look = asked.mapInArrow(_hashed(index, probes, False), schema).select("bucket", F.col("id").alias("q"), F.col("code_a").alias("qa"), F.col("code_b").alias("qb"))
-    close = F.bit_count(F.col("qa").bitwiseXOR(F.col("ca"))) + F.bit_count(F.col("qb").bitwiseXOR(F.col("cb"))) <= code_bits
-    large = scratch.write(held.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("bucket", F.ceil(F.col("m") / hot).cast("int").alias("blocks")), "large")
-    on = ["bucket"]
-    if n_large := large.count():  # at most vectors x tables / hot
-        large, on = small_side(large, n_large), ["bucket", "block"]
-        held = held.join(large, "bucket", "left").withColumn("block", F.pmod(F.xxhash64("c"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
-        look = look.join(large, "bucket", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
-    found = look.join(held, on)
-    if queries is None:
-        found = found.where(F.col("q") != F.col("c"))
-    met = scratch.write(found.where(close).select("q", "c").distinct(), "met")
-    vq, vc = asked.select(F.col("id").alias("q"), F.col("v").alias("vq")), all_.select(F.col("id").alias("c"), F.col("v").alias("vc"))
-    scored = met.join(vq, "q").join(vc, "c").select("q", "c", "vq", "vc").mapInArrow(_cosines, "q bigint, c bigint, cosine double")
-    if floor is not None:
-        scored = scored.where(F.col("cosine") >= floor)
+    asked = all_.select("id", "v") if queries is None else scratch.write(queries.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "asked")
+    count = all_.count()
+    narrow = queries is None and rows.select(vector).dtypes[0][1] == "array<float>"
+    compared = _compared(asked, all_, count if queries is None else asked.count(), count, k, floor, hot, queries is None, "float" if narrow else "double")
+    scored = scratch.write(compared, "scored")
     order = Window.partitionBy("q").orderBy(F.desc("cosine"), "c")
     if copied:
         # of each group of copies the k + 1 least ids can be neighbours; every copy asks as its group does
@@ -214,5 +183,5 @@ def similar_stories(spark: SparkSession, stories: DataFrame, floor: float = 0.9,
 def neighbours_of_sample(spark: SparkSession, stories: DataFrame, every: int = 50, k: int = K) -> DataFrame:
     """(story_id, neighbour_id, cosine, rank): the stated query set, ids divisible by `every`, against all rows."""
     asked = vectors(stories.where(F.col("id") % every == 0), "id", "centroid")
-    near = nearest(spark, stories, "id", "centroid", k=k, queries=asked, probes=256, code_bits=56, tables=12, hashes=6, width=1.0)
+    near = nearest(spark, stories, "id", "centroid", k=k, queries=asked)
     return near.select(F.col("q").alias("story_id"), F.col("c").alias("neighbour_id"), "cosine", "rank")
